@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from crossmer import constants as C
-from crossmer.functions.sequence import letter_lookup, residues
+from crossmer.functions.sequence import bind, letter_lookup, residues
 from crossmer.functions.statistics import round_to
 from crossmer.kernels import profiles as kernel
 
@@ -18,13 +18,16 @@ def per_residue(sequence: Column, values: dict[str, int]) -> Column:
 
 def window_sums(values: Column, window: int = C.PROFILE_WINDOW) -> Column:
     """Sums over every full window; divide by ``10 * window`` for scale units."""
-    count = F.size(values) - (window - 1)
-    return F.when(count < 1, F.array().cast("array<int>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-            lambda i: F.aggregate(F.slice(values, i, window), F.lit(0), lambda s, v: s + v),
+    def slide(v: Column) -> Column:
+        count = F.size(v) - (window - 1)
+        return F.when(count < 1, F.array().cast("array<int>")).otherwise(
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
+                lambda i: F.aggregate(F.slice(v, i, window), F.lit(0), lambda s, x: s + x),
+            )
         )
-    )
+
+    return bind(values, slide)
 
 
 def hydrophobicity_profile(sequence: Column, window: int = C.PROFILE_WINDOW) -> Column:
@@ -129,7 +132,7 @@ def profile_metrics(left: pd.Series, right: pd.Series) -> pd.DataFrame:
 profile_metrics = profile_metrics.asNondeterministic()  # evaluate once per pair
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def max_cross_correlation(left: pd.Series, right: pd.Series) -> pd.Series:
     """Best correlation of two integer profiles over all offsets."""
     return pd.Series(kernel.max_cross_correlation(

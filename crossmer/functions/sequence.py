@@ -46,15 +46,27 @@ def residues(sequence: Column) -> Column:
     )
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once.
+
+    An expression used inside a higher-order function is evaluated again for
+    every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kmers(sequence: Column, k: int) -> Column:
     """All k-mers in order of position; empty array when the text is shorter than k."""
-    count = F.length(sequence) - (k - 1)
-    return F.when(count < 1, F.array().cast("array<string>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-            lambda i: F.substring(sequence, i, F.lit(k)),
+    def cut(text: Column) -> Column:
+        count = F.length(text) - (k - 1)
+        return F.when(count < 1, F.array().cast("array<string>")).otherwise(
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
+                lambda i: F.substring(text, i, F.lit(k)),
+            )
         )
-    )
+
+    return bind(sequence, cut)
 
 
 def kmer_set(sequence: Column, k: int = C.KMER_K) -> Column:

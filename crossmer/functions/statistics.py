@@ -81,10 +81,10 @@ def score_floor(
 
 
 def significance(value: Column) -> Column:
-    tiers = None
-    for bound, label in C.SIGNIFICANCE_TIERS:
-        tiers = (tiers or F).when(value < bound, F.lit(label))
-    return tiers.otherwise(F.lit(C.SIGNIFICANCE_NONE))
+    label = F.lit(C.SIGNIFICANCE_NONE)
+    for bound, name in reversed(C.SIGNIFICANCE_TIERS):
+        label = F.when(value < bound, F.lit(name)).otherwise(label)
+    return label
 
 
 def format_evalue_text(value: Column) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crossmer import constants as C
-from crossmer.functions.sequence import blosum_lookup, reduce_sequence, ungapped_score
+from crossmer.functions.sequence import bind, blosum_lookup, reduce_sequence, ungapped_score
 from crossmer.operators.nodes import NodeSet, attach
 
 HOT_POSTINGS = 20_000
@@ -67,10 +67,10 @@ def hot_block_join(
 def _windows(text: Column, k: int, after: bool = False) -> tuple[Column, Column]:
     """(padded text, array of windows: residue before, k-mer[, residue after])."""
     padded = F.concat(F.lit(START), text, F.lit(END))
-    windows = F.transform(
-        F.sequence(F.lit(1), F.length(text) - (k - 1)),
-        lambda i: F.substring(padded, i, F.lit(k + 2 if after else k + 1)),
-    )
+    windows = bind(padded, lambda p: F.transform(
+        F.sequence(F.lit(1), F.length(p) - (k + 1)),
+        lambda i: F.substring(p, i, F.lit(k + 2 if after else k + 1)),
+    ))
     return padded, windows
 
 
