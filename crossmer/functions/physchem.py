@@ -140,6 +140,9 @@ def max_cross_correlation(left: pd.Series, right: pd.Series) -> pd.Series:
     ))
 
 
+max_cross_correlation = max_cross_correlation.asNondeterministic()  # evaluate once per pair
+
+
 def composite_score(metrics: Column, pi_difference: Column) -> Column:
     w = C.COMPOSITE_WEIGHTS
     positive = lambda value: F.greatest(value, F.lit(0.0))

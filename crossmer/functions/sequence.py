@@ -75,9 +75,13 @@ def kmer_set(sequence: Column, k: int = C.KMER_K) -> Column:
 
 def jaccard(left: Column, right: Column) -> Column:
     """Set overlap of two arrays, 0 when either is empty."""
-    shared = F.size(F.array_intersect(left, right))
-    union = F.size(F.array_union(left, right))
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(shared / union)
+    def overlap(a: Column, b: Column) -> Column:
+        shared = F.size(F.array_intersect(a, b))
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
+            shared / (F.size(a) + F.size(b) - shared))
+
+    return bind(F.array_distinct(left), lambda a: bind(
+        F.array_distinct(right), lambda b: overlap(a, b)))
 
 
 def letter_lookup(values: dict[str, int], default: int = 0) -> Callable[[Column], Column]:

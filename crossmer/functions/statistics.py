@@ -59,10 +59,10 @@ def evalue(
     query_length, db_size = _col(query_length), _col(db_size)
     m_eff = effective_length(query_length, k, h, db_size)
     d_eff = effective_length(db_size, k, h, query_length)
-    worst = m_eff * d_eff if batch else db_size * query_length
+    first, second = (m_eff, d_eff) if batch else (db_size, query_length)
     return F.when(
         raw_score > 0, F.lit(k) * m_eff * d_eff * F.exp(F.lit(-lam) * raw_score)
-    ).otherwise(worst.cast("double"))
+    ).otherwise(first.cast("double") * second.cast("double"))
 
 
 def score_floor(

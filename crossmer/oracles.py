@@ -338,7 +338,7 @@ _TAG_PAIRS = f"""{LETTERS}, pairs AS (SELECT id AS pid, sequence, '{TAG}' AS q,
 _TAGGED = f"""tagged AS (SELECT id, instr(sequence, '{TAG}') AS place, sequence, raw_score, target_end,
   raw_score >= 20 AS good FROM letters JOIN aligned ON pid = id)"""
 _STRIPPED = f"""stripped AS (SELECT id,
-  CASE WHEN place > 0 THEN substr(sequence, at + {len(TAG)}) WHEN good THEN substr(sequence, target_end + 1) ELSE sequence END AS stripped,
+  CASE WHEN place > 0 THEN substr(sequence, place + {len(TAG)}) WHEN good THEN substr(sequence, target_end + 1) ELSE sequence END AS stripped,
   place > 0 OR good AS tag_found, CASE WHEN place > 0 THEN 'exact' WHEN good THEN 'sw' ELSE 'none' END AS method_used,
   CASE WHEN place > 0 THEN NULL ELSE raw_score END AS score FROM tagged)"""
 
