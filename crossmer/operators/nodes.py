@@ -73,15 +73,16 @@ def both_directions(pairs: DataFrame, *carried: str) -> DataFrame:
     return pairs.select(ways.alias("_way"), *carried).select("_way.*", *carried)
 
 
-def expand_copies(pairs: DataFrame, antigens: DataFrame, nodes: DataFrame) -> DataFrame:
+def expand_copies(pairs: DataFrame, antigens: DataFrame, nodes: DataFrame,
+                  directed: bool = True, block: int = 4096) -> DataFrame:
     """Node pairs -> antigen pairs (``query_id``, ``target_id``), directions kept.
 
-    Input: directed ``q_node``/``t_node`` rows of a screen. Pairs of equal
-    length keep only the copies that stand in that order. The output is as
-    large as the antigen-level result itself; a node with many copies is cut
-    into blocks so that no task holds all of them.
+    Input: ``q_node``/``t_node`` rows of a screen. With ``directed`` (one row
+    per pair) equal lengths keep only the copies that stand in that order,
+    otherwise every pair of different antigens. The output is as large as the
+    antigen-level result itself; a node with many copies is cut into blocks so
+    that no task holds all of them.
     """
-    block = 4096
     members = (
         antigens.join(nodes.select("sequence", "node", "copies", "length"), "sequence")
         .withColumn("blocks", F.ceil(F.col("copies") / block).cast("int"))
@@ -102,9 +103,10 @@ def expand_copies(pairs: DataFrame, antigens: DataFrame, nodes: DataFrame) -> Da
         )
         return frame.join(sizes, f"{s}_node").join(ends, [f"{s}_node", f"{s}_block"])
 
-    joined = side(side(pairs, "q"), "t").filter(
-        (F.col("q_size") > F.col("t_size")) | (F.col("q_ordinal") < F.col("t_ordinal"))
-    )
+    kept = F.col("q_ordinal") != F.col("t_ordinal")
+    if directed:
+        kept = (F.col("q_size") > F.col("t_size")) | (F.col("q_ordinal") < F.col("t_ordinal"))
+    joined = side(side(pairs, "q"), "t").filter(kept)
     helpers = [f"{s}_{c}" for s in "qt" for c in ("block", "ordinal", "size")]
     return joined.withColumn("query_id", F.col("q_member")).withColumn(
         "target_id", F.col("t_member")
