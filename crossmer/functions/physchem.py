@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -124,9 +126,12 @@ METRICS_TYPE = T.StructType([
 
 
 @F.pandas_udf(METRICS_TYPE)
-def profile_metrics(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+def profile_metrics(
+    batches: Iterator[tuple[pd.Series, pd.Series]]
+) -> Iterator[pd.DataFrame]:
     """The five profile correlations of a pair of sequences."""
-    return pd.DataFrame(kernel.profile_metrics(left.tolist(), right.tolist()))
+    for left, right in batches:
+        yield pd.DataFrame(kernel.profile_metrics(left.tolist(), right.tolist()))
 
 
 profile_metrics = profile_metrics.asNondeterministic()  # evaluate once per pair

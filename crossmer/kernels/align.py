@@ -29,7 +29,8 @@ for _index, _letter in enumerate(C.MATRIX_ORDER):
 @dataclass
 class PairScores:
     score: np.ndarray        # best local score
-    target_end: np.ndarray   # 1-based end of that alignment in the target
+    target_end: np.ndarray   # 1-based end in the target, first best cell in query order
+    query_end: np.ndarray    # 1-based end in the query, first best cell in target order
     run: np.ndarray          # longest identical run
     run_query_end: np.ndarray   # 0-based, inclusive
     run_target_end: np.ndarray  # 0-based, inclusive
@@ -70,15 +71,13 @@ def align_pairs(
 ) -> PairScores:
     """Scores of all pairs; ``run_from`` > 0 also finds identical runs that long."""
     total = len(queries)
-    out = PairScores(*(np.zeros(total, dtype=np.int32) for _ in range(5)))
+    out = PairScores(*(np.zeros(total, dtype=np.int32) for _ in range(6)))
     if total == 0:
         return out
     sides = _encode(queries), _encode(targets)
     table = substitution_table(unknown)
     q_len, t_len = sides[0][2], sides[1][2]
-    # one step of the loop per row: put the shorter sequence there. Where an
-    # alignment ends depends on the direction, so that case keeps its order.
-    swap = np.zeros(total, bool) if with_end else q_len > t_len
+    swap = q_len > t_len  # one step of the loop per row: put the shorter sequence there
     for swapped in (False, True):
         picked = np.nonzero((q_len > 0) & (t_len > 0) & (swap == swapped))[0]
         rows, columns = (sides[1], sides[0]) if swapped else sides
@@ -124,7 +123,8 @@ def _align_tile(q, t, table, go, ge, with_end, run_from, swapped, out, picked) -
     ramp = np.repeat((np.arange(n, dtype=dtype) * dtype.type(ge))[:, None], width, axis=1)
     ramp_open = ramp + dtype.type(go)
     best = np.zeros(width, dtype)
-    end = np.zeros(width, np.int32)
+    row_major = np.zeros(width, np.int32)       # column of the first best cell by rows
+    column_major = np.zeros((2, width), np.int32)  # row and column of the first by columns
     peak = np.zeros((n, width), dtype)
     if run_from:
         runs = np.zeros((n + 1, width), dtype)
@@ -164,10 +164,15 @@ def _align_tile(q, t, table, go, ge, with_end, run_from, swapped, out, picked) -
 
         if with_end:
             row_best = cell.max(axis=0)
-            better = np.nonzero(row_best > best)[0]
-            if len(better):
-                best[better] = row_best[better]
-                end[better] = cell[:, better].argmax(axis=0) + 1
+            level = np.nonzero((row_best >= best) & (row_best > 0))[0]
+            if len(level):
+                at = cell[:, level].argmax(axis=0) + 1
+                better = row_best[level] > best[level]
+                row_major[level[better]] = at[better]
+                earlier = better | (at < column_major[1, level])
+                column_major[0, level[earlier]] = i + 1
+                column_major[1, level[earlier]] = at[earlier]
+                best[level] = row_best[level]
         else:
             np.maximum(peak, cell, out=peak)
 
@@ -192,7 +197,8 @@ def _align_tile(q, t, table, go, ge, with_end, run_from, swapped, out, picked) -
         above, here = here, above
 
     out.score[picked] = best if with_end else peak.max(axis=0)
-    out.target_end[picked] = end
+    out.target_end[picked] = column_major[0] if swapped else row_major
+    out.query_end[picked] = row_major if swapped else column_major[0]
     if run_from:
         out.run[picked] = best_run
         out.run_query_end[picked] = run_column if swapped else run_row

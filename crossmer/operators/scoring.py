@@ -6,6 +6,8 @@ evaluates one twice (once for a filter, once for the output).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -13,26 +15,47 @@ from crossmer import constants as C
 from crossmer.functions import statistics as S
 from crossmer.kernels.align import align_pairs
 
+_BATCH_ROWS = 65_536
+_BATCH_LETTERS = 1 << 25
+
 _ALIGNED = T.StructType([
-    T.StructField("raw_score", T.IntegerType()), T.StructField("target_end", T.IntegerType()),
-])
+    T.StructField(n, T.IntegerType()) for n in ("raw_score", "target_end", "query_end")])
 _BATCH = T.StructType([
-    T.StructField("raw_score", T.IntegerType()), T.StructField("run", T.IntegerType()),
-    T.StructField("run_query_end", T.IntegerType()), T.StructField("run_target_end", T.IntegerType()),
-])
+    T.StructField(n, T.IntegerType())
+    for n in ("raw_score", "run", "run_query_end", "run_target_end")])
+
+
+def gathered(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[tuple[list, list]]:
+    """Join Arrow batches into larger ones, bounded in rows and letters.
+
+    The kernels tile pairs by size; more pairs at a time make fuller tiles.
+    """
+    left, right, letters = [], [], 0
+    for a, b in batches:
+        left += a.tolist()
+        right += b.tolist()
+        letters += int(a.str.len().sum() + b.str.len().sum())
+        if len(left) >= _BATCH_ROWS or letters >= _BATCH_LETTERS:
+            yield left, right
+            left, right, letters = [], [], 0
+    if left:
+        yield left, right
 
 
 def sw_align(query: Column, target: Column, gap_open: int = C.GAP_OPEN,
              gap_extend: int = C.GAP_EXTEND, unknown: int = C.UNKNOWN_SCORE) -> Column:
-    """struct(raw_score, target_end) of the best local alignment.
+    """struct(raw_score, target_end, query_end) of the best local alignment.
 
     ``target_end`` is the 1-based end in the target of the first best cell in
-    query order; 0 when nothing aligns.
+    query order, ``query_end`` the same with the roles exchanged; 0 when
+    nothing aligns.
     """
     @F.pandas_udf(_ALIGNED)
-    def run(q: pd.Series, t: pd.Series) -> pd.DataFrame:
-        found = align_pairs(q.tolist(), t.tolist(), gap_open, gap_extend, unknown)
-        return pd.DataFrame({"raw_score": found.score, "target_end": found.target_end})
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for q, t in gathered(batches):
+            found = align_pairs(q, t, gap_open, gap_extend, unknown)
+            yield pd.DataFrame({"raw_score": found.score, "target_end": found.target_end,
+                                "query_end": found.query_end})
 
     return run.asNondeterministic()(F.upper(query), F.upper(target))
 
@@ -41,9 +64,9 @@ def sw_score_only(query: Column, target: Column, gap_open: int = C.GAP_OPEN,
                   gap_extend: int = C.GAP_EXTEND, unknown: int = C.UNKNOWN_SCORE) -> Column:
     """Best local score; the same in both directions."""
     @F.pandas_udf("int")
-    def run(q: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series(align_pairs(
-            q.tolist(), t.tolist(), gap_open, gap_extend, unknown, with_end=False).score)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for q, t in gathered(batches):
+            yield pd.Series(align_pairs(q, t, gap_open, gap_extend, unknown, with_end=False).score)
 
     return run.asNondeterministic()(query, target)
 
@@ -55,17 +78,17 @@ def sw_batch(query: Column, target: Column, gap_open: int = C.GAP_OPEN,
     A run shorter than ``min_run`` is reported as 0 with positions -1.
     """
     @F.pandas_udf(_BATCH)
-    def run(q: pd.Series, t: pd.Series) -> pd.DataFrame:
-        found = align_pairs(
-            q.tolist(), t.tolist(), gap_open, gap_extend, C.UNKNOWN_SCORE_BATCH,
-            with_end=False, run_from=min_run)
-        short = found.run < min_run
-        return pd.DataFrame({
-            "raw_score": found.score,
-            "run": found.run * ~short,
-            "run_query_end": found.run_query_end * ~short - short,
-            "run_target_end": found.run_target_end * ~short - short,
-        })
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for q, t in gathered(batches):
+            found = align_pairs(q, t, gap_open, gap_extend, C.UNKNOWN_SCORE_BATCH,
+                                with_end=False, run_from=min_run)
+            short = found.run < min_run
+            yield pd.DataFrame({
+                "raw_score": found.score,
+                "run": found.run * ~short,
+                "run_query_end": found.run_query_end * ~short - short,
+                "run_target_end": found.run_target_end * ~short - short,
+            })
 
     return run.asNondeterministic()(query, target)
 

@@ -23,6 +23,7 @@ def test_kernel_equals_recurrence(pairs):
     for gaps in ((10, 1), (3, 1), (11, 2)):
         found = align_pairs(q, t, *gaps)
         assert [*zip(found.score, found.target_end)] == [brute.sw(a, b, *gaps) for a, b in pairs]
+        assert [*zip(found.score, found.query_end)] == [brute.sw(b, a, *gaps) for a, b in pairs]
 
 
 @settings(max_examples=80, deadline=None)
