@@ -103,7 +103,7 @@ def tiles(wide: np.ndarray, tall: np.ndarray, picked: np.ndarray, cells: int):
         last = int(np.searchsorted(step, step[first], side="right"))
         last = first + int(np.searchsorted(
             sizes[first:last], 1.3 * sizes[first] + 8, side="right"))
-        last = min(last, first + max(1, int(cells / (1.15 * wide[picked[first]]))))
+        last = min(last, first + max(16, int(cells / (1.15 * wide[picked[first]]))))
         yield picked[first:last]
         first = last
 

@@ -309,10 +309,9 @@ def profile_pearson(spark, folder):
 
 @query
 def max_xcorr(spark, folder):
-    return _neighbours(word_antigens(spark, folder)).select(
-        "id", "next_id", S.round_to(P.max_cross_correlation(
-            P.hydrophobicity_profile(F.col("sequence")),
-            P.hydrophobicity_profile(F.col("next_sequence"))), 6).alias("cross_corr"))
+    metrics = P.profile_metrics(F.col("sequence"), F.col("next_sequence"))
+    return _neighbours(word_antigens(spark, folder)).withColumn("_m", metrics).select(
+        "id", "next_id", S.round_to(F.col("_m.hydrophobicity_cross_corr"), 6).alias("cross_corr"))
 
 
 def _annotated_neighbours(spark, folder, hit=None, extra=None) -> DataFrame:
