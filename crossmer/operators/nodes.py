@@ -30,7 +30,9 @@ class NodeSet:
 def build_nodes(antigens: DataFrame) -> NodeSet:
     # k-mers multiply every node by its length, so nodes are spread by hash
     # instead of being packed by their own small size
-    partitions = int(antigens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = antigens.sparkSession
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                     4 * spark.sparkContext.defaultParallelism)
     frame = materialize(
         antigens.groupBy("sequence").agg(
             F.min("ordinal").alias("node"),
