@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from crossmer.llm.common import arrow_map, table
 from crossmer.llm.tokens import default_tokenizer, encoder
+from crossmer.operators.storage import materialize
 
 BLOCK = 4096     # lengths per block of the two-level suffix sums
 
@@ -102,4 +103,4 @@ def quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix_sums(histogram(token_lengths(table(spark, folder, "documents"))))
+    return suffix_sums(materialize(histogram(token_lengths(table(spark, folder, "documents")))))
