@@ -44,6 +44,9 @@ CAPACITY = 4096
 ROUNDS = 60               # multiplicative-weights rounds
 BATCH = 256               # configurations taken from each round
 STEP = 0.5                # share of the tightest length's open need that a configuration takes
+COVERED = 0.95            # a length covered so far is left to the rounding
+SAND = 8                  # short pieces kept for each of the last sequences
+LONG_FIRST = 1.1          # above 1: of equal fills the one with longer pieces, short ones fill gaps later
 STEEPNESS = 3.0           # how fast a weight falls with coverage
 REST_SEQUENCES = 3000     # sequences filled one by one for each unit of the rest
 SLICE_ROWS = 200_000      # pieces numbered by one task
@@ -108,9 +111,9 @@ def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, batc
     noise = np.random.default_rng(0)      # another order among nearly equal completions in every round
     for _ in range(rounds):
         share = covered / need
-        prices = kinds / capacity * np.exp(-STEEPNESS * (share - share.min())) * noise.uniform(0.97, 1.03, len(kinds))
+        prices = (kinds / capacity) ** LONG_FIRST * np.exp(-STEEPNESS * (share - share.min())) * noise.uniform(0.99, 1.01, len(kinds))
         _, first = completions(kinds, prices, capacity)
-        for k in np.argsort(share - kinds / (capacity * 1e6), kind="stable")[:batch]:
+        for k in np.flatnonzero(share < COVERED)[::-1][:batch]:      # long pieces first, as in best fit
             config = tuple(sorted([int(k), *completion(first, kinds, capacity - int(kinds[k]))]))
             which, times = np.unique(config, return_counts=True)
             step = float(((need[which] - covered[which]) / times).min()) * STEP
@@ -163,6 +166,9 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
     if left[capacity]:
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
+    short = np.where(lengths <= capacity // 16, left, 0)
+    sand = np.diff(np.minimum(np.cumsum(short), SAND * REST_SEQUENCES), prepend=0)
+    left -= sand                  # fills the gaps of the last sequences
     if (left * lengths).sum() > REST_SEQUENCES * capacity:
         for config, x in sorted(configurations(left, capacity).items(), key=lambda c: (-c[1], c[0])):
             which, times = np.unique(config, return_counts=True)
@@ -179,7 +185,7 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
                 np.subtract.at(left, list(config), unit)
         needed = -(-int((left * lengths).sum()) // (REST_SEQUENCES * capacity))
         unit = min(needed, unit - 1) if len(plan) > before else unit // 2
-    return plan + [(config, 1) for config in fill_rest(left, capacity)]
+    return plan + [(config, 1) for config in fill_rest(left + sand, capacity)]
 
 
 def runs_of(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from crossmer.llm.chat import op4_chat_format
 from crossmer.llm.lengths import op3_token_counts
+from crossmer.llm.packing import op5_best_fit_packing
 from crossmer.llm.seekable import op1_token_binary
 
+from crossmer.llm.url_rules import OP2_SQL, op2_url_filter
+
 QUERIES = {f.__name__: f for f in (
     op1_token_binary,
+    op2_url_filter,
     op3_token_counts,
+    op4_chat_format,
+    op5_best_fit_packing,
 )}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_url_filter": OP2_SQL}

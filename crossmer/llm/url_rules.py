@@ -118,7 +118,7 @@ def judge(urls: DataFrame, rules: DataFrame, *, url_column: str = "url") -> Data
     return (
         events.withColumn("open", F.last("stack", ignorenulls=True).over(sweep))
         .filter("kind = 1")
-        .select("url", F.element_at(F.slice(F.reverse(covering), 1, 1), 1).alias("r"))
+        .select("url", F.get(F.reverse(covering), F.lit(0)).alias("r"))
         .filter("r IS NOT NULL")
         .select("url", "r.*")
         .groupBy("url").agg(F.max(best).alias("best"))
