@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from crossmer.llm.chat import op4_chat_format
+from crossmer.llm.decontamination import op9_decontamination
+from crossmer.llm.fingerprints import op7_fingerprints
 from crossmer.llm.lengths import op3_token_counts
+from crossmer.llm.near_dedup import op6_near_dedup
 from crossmer.llm.packing import op5_best_fit_packing
 from crossmer.llm.seekable import op1_token_binary
-
+from crossmer.llm.toxicity import op10_toxicity
 from crossmer.llm.url_rules import OP2_SQL, op2_url_filter
 
 QUERIES = {f.__name__: f for f in (
@@ -15,6 +18,10 @@ QUERIES = {f.__name__: f for f in (
     op3_token_counts,
     op4_chat_format,
     op5_best_fit_packing,
+    op6_near_dedup,
+    op7_fingerprints,
+    op9_decontamination,
+    op10_toxicity,
 )}
 
 SQL: dict[str, str] = {"op2_url_filter": OP2_SQL}
