@@ -65,12 +65,12 @@ class TokenEncoder:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         split = [self._pieces(t) if t else () for t in texts]
-        unknown = set().union(*split) - self._known.keys()
+        unknown = [p for p in set().union(*split) if p not in self._known]
         if unknown:
             if len(self._known) + len(unknown) > REMEMBERED:
                 self._known.clear()
-                unknown = set().union(*split)
-            self._learn(list(unknown))
+                unknown = list(set().union(*split))
+            self._learn(unknown)
         known = self._known
         return [b"".join([known[p] for p in parts]) for parts in split]
 
