@@ -128,7 +128,7 @@ class Grammar:
     def arcs(self, text: str) -> list[tuple[int, float]]:
         known = self._known
         tokens = TOKEN.findall(text.lower())
-        fresh = set(tokens) - known.keys()
+        fresh = {t for t in set(tokens) if t not in known}
         if fresh:
             if len(known) + len(fresh) > 400_000:
                 known.clear()
