@@ -5,6 +5,7 @@ from __future__ import annotations
 from crossmer.llm.chat import op4_chat_format
 from crossmer.llm.decontamination import op9_decontamination
 from crossmer.llm.fingerprints import op7_fingerprints
+from crossmer.llm.language_id import op8_language_id, op8_language_id_pages
 from crossmer.llm.lengths import op3_token_counts
 from crossmer.llm.near_dedup import op6_near_dedup
 from crossmer.llm.packing import op5_best_fit_packing
@@ -20,6 +21,8 @@ QUERIES = {f.__name__: f for f in (
     op5_best_fit_packing,
     op6_near_dedup,
     op7_fingerprints,
+    op8_language_id,
+    op8_language_id_pages,
     op9_decontamination,
     op10_toxicity,
 )}
