@@ -15,9 +15,9 @@
 4. Pairs pass a filter, the Jaccard index estimated from the K smallest values of
    the union, and are then verified on the full sets.
 5. Members that their leader's component has not taken in meet the other members
-   of that leader's lists, if not yet connected to them. The sketch filter is part
-   of this join, so failing pairs are never rows; large lists are split by Spark's
-   skew join. Then every link between different texts is found or implied.
+   of that leader's lists, if not yet connected to them. Filters and verification
+   are part of this join, so failing pairs are never rows; lists are cut into tiles
+   of TILE_PAIRS comparisons. Then every link between different texts is found or implied.
 6. Components by star contraction; the smallest doc_id names a component.
 
 Cases: null and empty texts and texts without words have an empty set and are
@@ -43,6 +43,8 @@ from crossmer.operators.storage import materialize
 K = 64
 PERCENT = 75                   # links: 100 * shared >= PERCENT * union
 DEVIATIONS = 6.0
+TILE_PAIRS = 200_000           # pairs of a leader's lists that are compared together, about
+TILE_ROWS = 2_000              # of at most so many members on one side, about
 
 SKETCHES = "doc_id long, sig binary, n long, sketch array<long>"
 SETS = "sig binary, shingles array<long>"
@@ -104,14 +106,13 @@ def _listed(nodes: DataFrame) -> DataFrame:
     """value, sig, n, centre: the inverted lists, of values in at least two sketches."""
     postings = nodes.select("sig", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     frequent = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    needs = F.array(*[F.lit(_needed(s)) for s in range(K + 1)])
     shared = (
         postings.join(frequent, "value")
         .groupBy("sig", "n", "size")
         .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))    # at most K
     )
     rare = F.col("size") - F.size("values")       # values of no other sketch come first in the order
-    length = F.col("size") - F.get(needs, F.col("size")) + 1 - rare
+    length = F.col("size") - F.get(_needs(), F.col("size")) + 1 - rare
     centre = F.aggregate("values", F.lit(0.0), lambda a, v: a + F.log(v["df"].cast("double"))) / F.col("size")
     return (
         shared.withColumn("centre", centre)
@@ -134,19 +135,30 @@ def _estimate_passes(a: Column, b: Column) -> Column:
     return shared >= size * share - slack - 1e-9
 
 
+def _sketches_meet(a: Column, b: Column) -> Column:
+    """The sketches share as many values as those of linked sets do at least: a cheap test before the estimate."""
+    return F.size(F.array_intersect(a, b)) >= F.get(_needs(), F.least(F.size(a), F.size(b)))
+
+
+def _needs() -> Column:
+    return F.array(*[F.lit(_needed(s)) for s in range(K + 1)])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b whose whole sets are similar enough."""
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - F.col("shared")
     return (
         pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("set_a")), "a")
         .join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("set_b")), "b")
-        .withColumn("shared", shared)
-        .filter(F.lit(100) * F.col("shared") >= F.lit(PERCENT) * union)
+        .filter(_linked(F.col("set_a"), F.col("set_b")))
         .select("a", "b")
     )
 
 
+def _linked(a: Column, b: Column) -> Column:
+    """100 * shared >= PERCENT * union, where the union is both sizes less what is shared."""
+    return F.lit(100 + PERCENT) * F.size(F.array_intersect(a, b)) >= F.lit(PERCENT) * (F.size(a) + F.size(b))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents (doc_id, text)."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -178,36 +190,48 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = materialize(_verified(first, sets))
     taken = components(links)
 
-    second = materialize(_verified(_left_over(met, own, taken), sets))
+    second = materialize(_left_over(met, own, sets, taken))
     whole = materialize(components(links.unionByName(second)))
     return _classes(rows, names, whole)
 
 
-def _left_over(met: DataFrame, own: DataFrame, taken: DataFrame) -> DataFrame:
-    """Pairs a, b of members of one leader's lists that are not connected yet and pass the sketch filter."""
+def _left_over(met: DataFrame, own: DataFrame, sets: DataFrame, taken: DataFrame) -> DataFrame:
+    """Links a, b between members of one leader's lists that are not connected yet."""
     labels = taken.select(F.col("node").alias("sig"), "component")
     members = (
-        met.unionByName(met.select("leader", "leader_n", F.col("leader").alias("sig"), F.col("leader_n").alias("n")))
-        .distinct().select("leader", "sig", "n")
-        .join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        met.select("leader", "sig", "n")
+        .unionByName(met.select("leader", F.col("leader").alias("sig"), F.col("leader_n").alias("n")))
+        .distinct().join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     )
     of_leader = members.filter("leader = sig").select("leader", F.col("component").alias("main"))
-    members = members.join(of_leader, "leader").withColumn("outside", F.col("component") != F.col("main"))
-    open_lists = members.filter("outside").select("leader").distinct()
-    members = materialize(members.join(open_lists, "leader", "left_semi").join(own.select("sig", "sketch"), "sig"))
-    x = members.filter("outside").select("leader", *[F.col(c).alias(f"x_{c}") for c in ("sig", "n", "component", "sketch")])
-    y = members.select("leader", *[F.col(c).alias(f"y_{c}") for c in ("sig", "n", "component", "sketch", "outside")])
-    tested = F.col("y_sig") == F.col("leader")       # the pair was verified in the first round
+    members = materialize(members.join(of_leader, "leader").withColumn("outside", F.col("component") != F.col("main")))
+    size = members.groupBy("leader").agg(
+        F.count("*").alias("all"), F.sum(F.col("outside").cast("long")).alias("open")).filter("open > 0").select(
+        "leader", F.ceil(F.col("all") / TILE_ROWS).cast("int").alias("down"),
+        F.ceil(F.col("open") * F.least(F.col("all"), F.lit(TILE_ROWS)) / TILE_PAIRS).cast("int").alias("across"))
+    columns = ("sig", "n", "component", "sketch", "shingles", "outside", "leader")
+    placed = (
+        members.join(size, "leader").join(own.select("sig", "sketch"), "sig").join(sets, "sig")
+        .withColumn("row", F.pmod(F.xxhash64("sig"), F.col("down")).cast("int"))
+        .withColumn("column", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("across")).cast("int"))
+    )
+    x = placed.filter("outside").withColumn("x_row", F.explode(F.sequence(F.lit(0), F.col("down") - 1))).select(
+        "x_row", F.col("column").alias("x_column"), *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = placed.withColumn("y_column", F.explode(F.sequence(F.lit(0), F.col("across") - 1))).select(
+        F.col("row").alias("y_row"), "y_column", *[F.col(c).alias(f"y_{c}") for c in columns])
+    tile = ((F.col("x_leader") == F.col("y_leader")) & (F.col("x_row") == F.col("y_row"))
+            & (F.col("x_column") == F.col("y_column")))
+    tested = F.col("y_sig") == F.col("y_leader")       # the pair was verified in the first round
     fits = (
         (F.col("x_component") != F.col("y_component")) & ~tested
         & (~F.col("y_outside") | (F.col("x_sig") < F.col("y_sig")))
         & _similar_sizes(F.col("x_n"), F.col("y_n"))
+        & _sketches_meet(F.col("x_sketch"), F.col("y_sketch"))
         & _estimate_passes(F.col("x_sketch"), F.col("y_sketch"))
+        & _linked(F.col("x_shingles"), F.col("y_shingles"))
     )
-    return (
-        x.withColumnRenamed("leader", "x_leader").join(y, (F.col("x_leader") == F.col("leader")) & fits)
-        .select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct()
-    )
+    return x.join(y, tile & fits).select(
+        F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct()
 
 
 def _classes(rows: DataFrame, names: DataFrame, whole: DataFrame) -> DataFrame:
