@@ -203,7 +203,7 @@ def read_documents(manifest: DataFrame, wanted: DataFrame, id_column: str = "doc
         F.col("next_id").isNull() | (F.col("doc_id") < F.col("next_id")))
     by_file = asked.join(F.broadcast(files.select("file", "first_id", "next_id")), inside).select("file", "doc_id")
 
-    def fetch(key, frame: pa.Table) -> pa.Table:
+    def fetch(key, frame):
         reader = FrameReader(key[0].as_py())
         picked = np.flatnonzero(np.isin(reader.documents, frame.column("doc_id").to_numpy()))
         contents = [np.frombuffer(reader.frame(int(k)), "<u4").tolist() for k in picked]
