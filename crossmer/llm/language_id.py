@@ -5,7 +5,8 @@ Log-probabilities of four kinds of evidence add up for each language (and for
 
 * text: mean log-likelihood of hashed letter triplets of the whole text under each
   language's model, times at most FULL_WEIGHT triplets, since neighbouring triplets
-  are not independent; `und` is a text REJECT_MARGIN less likely than usual;
+  are not independent; `und` is a text REJECT_MARGIN less likely than usual, and at
+  most as likely as triplets drawn at random;
 * declared: the language named by the markup (a page's html element, a document's
   lang), right with probability RELIABILITY;
 * address suffix: a country suffix names its language with SUFFIX_RELIABILITY, other
@@ -73,15 +74,12 @@ def page_text(html: str | None) -> str:
 
 def triplets(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed letter triplets of a batch of texts and, for each text, how many come before it."""
-    data = _LETTER[np.frombuffer(b"  ".join(raw) + b"  ", dtype=np.uint8)].astype(np.uint32)
+    data = _LETTER[np.frombuffer(b" " + b" ".join(raw) + b"  ", dtype=np.uint8)].astype(np.uint32)
     codes = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
-    lengths = np.array([len(r) + 2 for r in raw])
-    ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(raw)), lengths)[:len(codes)]
-    inside = (data[1:-1] != 32)                    # a triplet counts where its middle is a letter
-    codes, owner = codes[inside], owner[inside]
-    hashed = (codes * np.uint32(2654435761)) >> np.uint32(16)
-    return hashed, np.searchsorted(owner, np.arange(len(ends) + 1))
+    owner = np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])      # by the middle byte
+    inside = data[1:-1] != 32                     # a triplet counts where its middle is a letter
+    hashed = (codes[inside] * np.uint32(2654435761)) >> np.uint32(16)
+    return hashed, np.searchsorted(owner[inside], np.arange(len(raw) + 1))
 
 
 # --- the text models -----------------------------------------------------------------------
@@ -95,7 +93,7 @@ class TextModels:
         self.logs = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
         shares = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
         usual = (shares * self.logs.T).sum(axis=1) if languages else np.zeros(0)
-        self.unknown = float(usual.min() - REJECT_MARGIN) if languages else 0.0
+        self.unknown = min(float(usual.min() - REJECT_MARGIN), -float(np.log(BUCKETS))) if languages else 0.0
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-likelihood under each language (last column: unknown), and the number of triplets."""
