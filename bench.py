@@ -24,9 +24,12 @@ HEADLINE = (
     "two_pass_candidates",
     "contiguous_match",
     "ra_candidates",
+    "ra_candidates_documents",
+    "ra_details",
     "live_query",
     "screen_kmer_documents",
     "screen_vectorized_messages",
+    "screen_vectorized_documents",
     "screen_exhaustive",
     "query_similar",
     "export_pairs",

@@ -116,3 +116,12 @@ def word_residues(text: Column) -> Column:
     number = lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int")
     letter = lambda w: F.substring(F.lit(C.AMINO_ACIDS), number(w) % 20 + 1, F.lit(1))
     return F.array_join(F.transform(words, letter), "")
+
+
+def self_score(sequence: Column) -> Column:
+    """Score of a sequence against itself: the most that any of its local alignments can reach."""
+    total, diagonal = F.lit(0), C.blosum62()
+    for letter in C.AMINO_ACIDS:
+        count = F.length(sequence) - F.length(F.replace(sequence, F.lit(letter), F.lit("")))
+        total = total + count * diagonal[letter + letter]
+    return total

@@ -19,7 +19,6 @@ _PAD = len(C.MATRIX_ORDER) + 1
 _SPAN = 32  # row stride of the lookup table
 _PAD_SCORE = -100
 _TILE_CELLS = 24_576
-_INT16_SAFE = 2_000  # longest sequence whose scores are sure to fit 16 bits
 
 _CODES = np.full(256, len(C.MATRIX_ORDER), dtype=np.int64)
 for _index, _letter in enumerate(C.MATRIX_ORDER):
@@ -86,12 +85,18 @@ def align_pairs(
             _align_tile(
                 _columns(*rows, tile, int(rows[2][tile].max())),
                 _columns(*columns, tile, int(columns[2][tile].max())),
-                table.astype(np.int16 if longest < _INT16_SAFE else np.int32),
+                table.astype(np.int16 if fits_16_bits(longest, gap_open, gap_extend) else np.int32),
                 gap_open, gap_extend, with_end, run_from, swapped, out, tile,
             )
     return out
 
 
+def fits_16_bits(longest: int, gap_open: int, gap_extend: int) -> bool:
+    """Scores, the gap ramp added to them and the decaying gap channel stay in range."""
+    ramp = longest * gap_extend + gap_open
+    return 11 * longest + ramp < 32_000 and ramp < 12_000
+
+
 def tiles(wide: np.ndarray, tall: np.ndarray, picked: np.ndarray, cells: int):
     """Groups of pairs with similar sizes (little padding), ``cells`` values per row at most."""
     step = np.round(np.log(np.maximum(wide[picked], 1)) / np.log(1.3)).astype(np.int64)

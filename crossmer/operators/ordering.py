@@ -4,39 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BUCKET = 1 << 20
+from crossmer.operators.storage import materialize
 
 
-def running_total(frame: DataFrame, ordinal: str, value: Column, name: str) -> DataFrame:
-    """Add the inclusive running sum of ``value`` in ``ordinal`` order.
+def _ranges(frame: DataFrame, *order: Column) -> DataFrame:
+    """The rows with ``_range``, numbers of consecutive ranges of the order.
 
-    Rows are cut into ranges of the ordinal; a range is summed on its own and
-    starts from the total of all ranges before it. Only one row per range
-    takes part in the global order.
+    Written once, so that both uses see the same ranges.
     """
-    cut = frame.withColumn("_bucket", F.floor(F.col(ordinal) / BUCKET)).withColumn("_v", value)
-    totals = cut.groupBy("_bucket").agg(F.sum("_v").alias("_t"))
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_bucket", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    inside = W.partitionBy("_bucket").orderBy(ordinal)
+    return materialize(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
+def _before(cut: DataFrame, value: Column) -> DataFrame:
+    """Sum of ``value`` in all ranges before; one row per range takes part."""
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    return cut.groupBy("_range").agg(value.alias("_t")).select(
+        "_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+
+
+def running_total(frame: DataFrame, ordinal: str, value: Column, name: str) -> DataFrame:
+    """Add the inclusive running sum of ``value`` in ``ordinal`` order."""
+    cut = _ranges(frame.withColumn("_v", value), F.col(ordinal))
+    inside = W.partitionBy("_range").orderBy(ordinal)
     return (
-        cut.join(offsets, "_bucket")
+        cut.join(_before(cut, F.sum("_v")), "_range")
         .withColumn(name, F.sum("_v").over(inside) + F.col("_o"))
-        .drop("_bucket", "_v", "_o")
+        .drop("_range", "_v", "_o")
     )
 
 
 def screen_rank(frame: DataFrame) -> DataFrame:
     """0-based position of (length, ordinal) rows in screen order: longer first."""
-    cut = frame.withColumn("_bucket", F.floor(F.col("ordinal") / BUCKET))
-    groups = cut.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = W.orderBy(F.desc("length"), "_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = groups.select(
-        "length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = W.partitionBy("length", "_bucket").orderBy("ordinal")
+    order = F.desc("length"), F.asc("ordinal")
+    cut = _ranges(frame, *order)
+    inside = W.partitionBy("_range").orderBy(*order)
     return (
-        cut.join(offsets, ["length", "_bucket"])
+        cut.join(_before(cut, F.count("*")), "_range")
         .withColumn("rank", F.row_number().over(inside) - 1 + F.col("_o"))
-        .drop("_bucket", "_o")
+        .drop("_range", "_o")
     )

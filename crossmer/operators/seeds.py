@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from crossmer import constants as C
 from crossmer.functions.sequence import bind, blosum_lookup, reduce_sequence, ungapped_score
 from crossmer.operators.nodes import NodeSet, attach
+from crossmer.operators.storage import materialize
 
 HOT_POSTINGS = 20_000
 BROADCAST_KEYS = 100_000
@@ -26,19 +27,20 @@ START, END, UNKNOWN = "^", "$", "?"
 
 
 def hot_block_join(
-    postings: DataFrame, key: str, rows_bound: int, condition: Column,
-    limit: int | None = None,
+    postings: DataFrame, key: str, condition: Column, limit: int | None = None, counted: bool = False,
 ) -> DataFrame:
     """Self-join of postings on ``key`` as aliases ``a`` and ``b`` with a.node < b.node.
 
-    ``rows_bound`` is an upper bound of the postings one key can have; below
-    ``limit`` no key can be hot and the plain join is used. Otherwise hot keys
-    are counted first and get a grid of blocks.
+    The postings of every key are counted first (unless ``counted`` says that
+    none exceeds ``limit``); keys beyond it get a grid of blocks, so that a cell
+    has about ``limit`` rows on either side.
     """
     limit = limit or HOT_POSTINGS
+    if not counted:
+        postings = materialize(postings)       # counted, then joined
     a, b = postings.alias("a"), postings.alias("b")
     ordered = (F.col("a.node") < F.col("b.node")) & condition
-    if rows_bound <= limit:
+    if counted:
         return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & ordered)
 
     hot = (
@@ -52,7 +54,7 @@ def hot_block_join(
         hot = F.broadcast(hot)
     placed = postings.join(hot, key, "left").withColumn(
         "blocks", F.coalesce("blocks", F.lit(1))
-    ).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    ).withColumn("block", F.pmod(F.xxhash64(*postings.columns), F.col("blocks")).cast("int"))
     grid = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     a = placed.withColumnRenamed("block", "row").withColumn("column", grid).alias("a")
     b = placed.withColumnRenamed("block", "column").withColumn("row", grid).alias("b")
@@ -83,11 +85,10 @@ def _no_common(left: Column, right: Column) -> Column:
     return (left != right) | left.isin(START, END, UNKNOWN)
 
 
-def shared_kmer_pairs(text: DataFrame, k: int, bound: int, limit: int | None = None) -> DataFrame:
+def shared_kmer_pairs(text: DataFrame, k: int, limit: int | None = None) -> DataFrame:
     """Unordered node pairs whose texts share at least one k-mer.
 
-    ``text`` has columns node and text, ``bound`` is its row count. Postings
-    are distinct (k-mer, residue before it, node) triples.
+    ``text`` has columns node and text. Postings are distinct (k-mer, residue before it, node) triples.
     """
     _, windows = _windows(F.col("text"), k)
     postings = (
@@ -97,7 +98,7 @@ def shared_kmer_pairs(text: DataFrame, k: int, bound: int, limit: int | None = N
         .filter(_known(F.col("kmer")))
     )
     joined = hot_block_join(
-        postings, "kmer", bound, _no_common(F.col("a.before"), F.col("b.before")), limit
+        postings, "kmer", _no_common(F.col("a.before"), F.col("b.before")), limit
     )
     return joined.select(
         F.col("a.node").alias("a_node"), F.col("b.node").alias("b_node")
@@ -121,7 +122,7 @@ def chain_pairs(nodes: NodeSet, k: int = C.CHAIN_K, min_chain: int = C.CHAIN_MIN
     Such a chain spells one common substring, so this is a join on
     (k + min_chain - 1)-mers.
     """
-    return shared_kmer_pairs(plain_text(nodes), k + min_chain - 1, nodes.count, limit)
+    return shared_kmer_pairs(plain_text(nodes), k + min_chain - 1, limit)
 
 
 # --- Jaccard filter ------------------------------------------------------------
@@ -143,9 +144,9 @@ def jaccard_pairs(nodes: NodeSet, k: int = C.KMER_K, threshold: float = C.JACCAR
         .select("node", F.array_distinct(F.transform(
             windows, lambda w: F.substring(w, 2, k))).alias("kmers"))
     )
-    postings = sets.select(
+    postings = materialize(sets.select(
         "node", F.size("kmers").alias("size"), F.explode("kmers").alias("kmer")
-    )
+    ))
     # overlap is at most the ratio of the set sizes
     comparable = (
         F.least(F.col("a.size"), F.col("b.size"))
@@ -158,13 +159,13 @@ def jaccard_pairs(nodes: NodeSet, k: int = C.KMER_K, threshold: float = C.JACCAR
     found = frequent.limit(BROADCAST_KEYS + 1).count() if nodes.count > limit else 0
 
     if found == 0:
-        counted = hot_block_join(postings, "kmer", 0, comparable).select(*pair).groupBy(
+        counted = hot_block_join(postings, "kmer", comparable, counted=True).select(*pair).groupBy(
             *keys).agg(F.count("*").alias("shared"))
     else:
         if found <= BROADCAST_KEYS:
             frequent = F.broadcast(frequent)
         rare = postings.join(frequent, "kmer", "left_anti")
-        shared_rare = hot_block_join(rare, "kmer", 0, comparable).select(*pair).groupBy(
+        shared_rare = hot_block_join(rare, "kmer", comparable, counted=True).select(*pair).groupBy(
             *keys).agg(F.count("*").alias("shared"))
         arrays = postings.join(frequent, "kmer").groupBy("node", "size").agg(
             F.sort_array(F.collect_list(F.struct("count", "kmer"))).alias("common")
@@ -173,7 +174,7 @@ def jaccard_pairs(nodes: NodeSet, k: int = C.KMER_K, threshold: float = C.JACCAR
         indexed = arrays.select("node", "size", F.explode(F.slice(
             "common", F.lit(1), F.greatest(F.size("common") - (needed - 1), F.lit(0)).cast("int")
         )).alias("c")).select("node", "size", F.col("c.kmer").alias("kmer"))
-        only_common = hot_block_join(indexed, "kmer", nodes.count, comparable, limit).select(
+        only_common = hot_block_join(indexed, "kmer", comparable, limit).select(
             *pair, F.lit(0).cast("bigint").alias("shared"))
         candidates = shared_rare.unionByName(only_common).groupBy(*keys).agg(
             F.sum("shared").alias("shared"))
@@ -230,7 +231,7 @@ def reduced_seed_pairs(nodes: NodeSet, limit: int | None = None) -> DataFrame:
                 F.substring(F.col("sequence"), F.col("pos"), F.lit(k)).alias("original"))
     )
     joined = hot_block_join(
-        postings, "kmer", nodes.count, _no_common(F.col("a.before"), F.col("b.before")), limit
+        postings, "kmer", _no_common(F.col("a.before"), F.col("b.before")), limit
     )
     seed = lambda x, y: F.min(F.struct(
         F.col(f"{x}.pos").alias("q"), F.col(f"{y}.pos").alias("t"),
@@ -272,7 +273,7 @@ def reduced_pairs(nodes: NodeSet, limit: int | None = None) -> DataFrame:
 
 # --- maximal common runs --------------------------------------------------------
 
-def maximal_runs(text: DataFrame, k: int, bound: int, limit: int | None = None) -> DataFrame:
+def maximal_runs(text: DataFrame, k: int, limit: int | None = None) -> DataFrame:
     """Every maximal common run of >= k residues, grouped by pair and diagonal.
 
     Columns a_node, b_node, diagonal (a position - b position) and ``runs``, an
@@ -290,7 +291,7 @@ def maximal_runs(text: DataFrame, k: int, bound: int, limit: int | None = None)
     )
     first = _no_common(F.col("a.before"), F.col("b.before"))
     last = _no_common(F.col("a.after"), F.col("b.after"))
-    joined = hot_block_join(postings, "kmer", bound, first | last, limit).select(
+    joined = hot_block_join(postings, "kmer", first | last, limit).select(
         F.col("a.node").alias("a_node"), F.col("b.node").alias("b_node"),
         (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), F.col("a.pos").alias("pos"),
         first.alias("first"), last.alias("last"),
@@ -311,7 +312,7 @@ def contiguous_matches(nodes: NodeSet, min_run: int = C.MIN_RUN,
     Both directions; 0-based inclusive positions. Ties: smallest query end,
     then smallest target end.
     """
-    runs = maximal_runs(plain_text(nodes), min_run, nodes.count, limit)
+    runs = maximal_runs(plain_text(nodes), min_run, limit)
     one = runs.select("a_node", "b_node", "diagonal", F.explode("runs").alias("r")).select(
         "a_node", "b_node", F.col("r.length").alias("length"),
         (F.col("r.start") + F.col("r.length") - 1).alias("a_end"),
@@ -339,7 +340,7 @@ def diagonal_details(
     Ties between diagonals go to the one whose first seed comes first in query
     order (then target order); within a diagonal to the earliest run.
     """
-    runs = maximal_runs(reduced_text(nodes), k, nodes.count, limit)
+    runs = maximal_runs(reduced_text(nodes), k, limit)
     longest = F.array_max(F.transform("runs", lambda r: r["length"]))
     per_diagonal = runs.select(
         "a_node", "b_node", "diagonal", longest.alias("length"),

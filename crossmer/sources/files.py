@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from crossmer import constants as C
 from crossmer.functions.sequence import clean_sequence
 from crossmer.operators.loading import clean_records, load_counters, unique_ids
-from crossmer.sources.lines import head, numbered_records
+from crossmer.sources.lines import delimited_records, first_filled, numbered_records
 
 _SAMPLE = 8192
 
@@ -32,19 +32,12 @@ def detect_columns(headers: Sequence[str]) -> tuple[int, int]:
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    return _sniff(head(spark, path))
+    return _sniff(first_filled(spark, path, _SAMPLE)[1])
 
 
-def _sniff(lines: list[str]) -> str:
-    filled = next((i for i, line in enumerate(lines) if line.strip()), None)
-    if filled is None:
+def _sniff(sample: list[str]) -> str:
+    if not sample:
         return ","
-    sample, size = [], 0
-    for line in lines[filled:]:
-        if size > _SAMPLE:
-            break
-        sample.append(line)
-        size += len(line) + 1
     try:
         guess = csv.Sniffer().sniff("\n".join(sample), delimiters="".join(C.DELIMITERS)).delimiter
         if guess in C.DELIMITERS:
@@ -60,47 +53,39 @@ def _csv_rows(spark, path, id_col, seq_col, delimiter) -> DataFrame | None:
 
     ``row_num`` counts records after the header from 2, blank ones included.
     """
-    lines = head(spark, path)
-    start = next((i for i, line in enumerate(lines) if line.strip()), None)
-    if start is None:
+    start, sample = first_filled(spark, path, _SAMPLE)
+    if start < 0:
         return None
-    delimiter = delimiter or _sniff(lines)
-    headers = next(csv.reader([lines[start]], delimiter=delimiter))
+    delimiter = delimiter or _sniff(sample)
+    headers = next(csv.reader(sample, delimiter=delimiter))
     if id_col and seq_col:
         names = [h.strip().lower() for h in headers]
         missing = [c for c in (id_col, seq_col) if c.lower() not in names]
         if missing:
-            raise ValueError(f"Specified column not found: {missing[0]!r} is not in {headers}")
+            raise ValueError(f"no column {missing[0]!r} among {headers}: it was not found")
         id_at, seq_at = names.index(id_col.lower()), names.index(seq_col.lower())
     else:
         id_at, seq_at = detect_columns(headers)
 
-    width = max(id_at, seq_at) + 1
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    options = {"sep": delimiter, "mode": "PERMISSIVE", "quote": '"', "escape": '"'}
-    # separators inside quotes do not count
-    bare = F.regexp_replace("value", '"[^"]*"', "")
-    fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
-    blank = F.trim(F.regexp_replace("value", f'[{delimiter}"]', " ")) == ""
-    body = numbered_records(spark, path).filter(F.col("line_no") > start).select(
-        (F.col("line_no") - start + 1).alias("row_num"), "value",
-        F.from_csv("value", schema, options).alias("r"),
-        blank.alias("blank"), fields.alias("fields"))
-    return body.filter(F.col("fields") >= width).select(
-        "row_num", F.col(f"r.c{id_at}").alias("id"), F.col(f"r.c{seq_at}").alias("raw"), "blank")
+    # blank lines before the header are one record each, so the header has its line's number
+    body = delimited_records(spark, path, delimiter).filter(F.col("record_no") > start)
+    blank = ~F.exists("fields", lambda f: F.trim(F.regexp_replace(f, r"\s", "")) != "")
+    return body.filter(F.size("fields") > max(id_at, seq_at)).select(
+        (F.col("record_no") - start + 1).alias("row_num"), F.get("fields", F.lit(id_at)).alias("id"),
+        F.get("fields", F.lit(seq_at)).alias("raw"), blank.alias("blank"))
 
 
 def _finish(cleaned: DataFrame, suffix: str, path: str, verbose: bool) -> DataFrame:
     records = unique_ids(cleaned.filter("valid").drop("valid"), suffix)
     if verbose:
         counts = load_counters(cleaned).first()
-        print(f"  Loaded {counts['loaded']:,} sequences")
+        print(f"  sequences kept: {counts['loaded']:,}")
         if counts["skipped"]:
-            print(f"  Skipped {counts['skipped']:,} invalid/too-short sequences")
+            print(f"  records without a usable sequence: {counts['skipped']:,}")
         if counts["renamed"]:
-            print(f"  Renamed {counts['renamed']:,} duplicate IDs")
+            print(f"  ids given a suffix: {counts['renamed']:,}")
         if not counts["loaded"]:
-            sys.stderr.write(f"Warning: no valid sequences loaded from {path}\n")
+            sys.stderr.write(f"{path}: no valid sequences\n")
     return records.select(F.col("row_num").alias("ordinal"), "id", "sequence")
 
 
@@ -114,13 +99,13 @@ def load_csv(spark: SparkSession, path: str, id_col: str | None = None,
              verbose: bool = True) -> DataFrame:
     """(ordinal, id, sequence) of a delimited file.
 
-    A quoted field must not contain a line break: records are lines, which is
-    what lets a large file be read in parallel with exact row numbers.
+    Quoted fields may contain delimiters and line breaks; a large file is read in
+    parallel with exact row numbers all the same.
     """
     rows = _csv_rows(spark, path, id_col, seq_col, delimiter)
     if rows is None:
         if verbose:
-            print("  Warning: file is empty")
+            print("  nothing but blank lines")
         return _no_records(spark)
     kept = rows.filter(~F.col("blank")).drop("blank")
     return _finish(clean_records(kept, min_len, max_len), "row", path, verbose)

@@ -96,7 +96,8 @@ class ResultStore:
         keys = ["query_id", "target_id"]
         shaped = T.conform_pairs(pairs)
         fields = [c for c in shaped.columns if c not in keys]
-        first = shaped.groupBy(*keys).agg(F.first(F.struct(*fields)).alias("r")).select(*keys, "r.*")
+        numbered = shaped.withColumn("_place", F.monotonically_increasing_id())
+        first = numbered.groupBy(*keys).agg(F.min_by(F.struct(*fields), "_place").alias("r")).select(*keys, "r.*")
         new = first.join(self.similarities.select(*keys), keys, "left_anti")
         self._write("similarities", new.select(*PAIR_COLUMNS))
 

@@ -1,6 +1,9 @@
-"""Files, store, full runs, synthetic sets and registered queries."""
+"""Files, store, full runs and registered queries."""
 
+import csv
+import io
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,11 +11,24 @@ from pyspark.sql import functions as F
 from crossmer import cli, constants as C
 from crossmer.operators import tables as T
 from crossmer.plans.run import run_screen
-from crossmer.sources import files, synthetic
+from crossmer.sources import files
 from crossmer.sources.store import ResultStore
 
-A = "MHHHHHHGSSGVKQTLNFDLLKLAGDVESNPGPAGSK"
-B = "MHHHHHHGSSGACDEFGHIKLMNPQRSTVWYACDEFGH"
+A = "MWKRTLDEAYQNNPGFICHSVATLKEWDRGQYHPMS"
+B = "MTTSRDYLWAEKQNVFGHICPPLMKAEYDWRTSGQN"
+TAG = "MHHHHHHGSSG"
+
+
+def families(seed, members=6, alone=150):
+    """Random families (15 % of residues changed) and unrelated sequences, all tagged."""
+    rng = random.Random(seed)
+    draw = lambda n: "".join(rng.choice(C.AMINO_ACIDS) for _ in range(n))
+    rows = [(f"lone{n}", draw(rng.randint(40, 120))) for n in range(alone)]
+    for f in range(8):
+        base = draw(70)
+        rows += [(f"fam{f}_{m}", "".join(rng.choice(C.AMINO_ACIDS) if rng.random() < 0.15 else r for r in base))
+                 for m in range(members)]
+    return [(name, TAG + sequence) for name, sequence in rows]
 
 
 def write(folder, name, text, encoding="utf-8"):
@@ -66,6 +82,26 @@ def test_many_small_splits(spark, tmp_path):
     assert [(r["ordinal"], r["id"]) for r in rows] == [(n + 2, f"N{n}") for n in range(3000)]
 
 
+def test_blank_lead_and_quoted_line_breaks(spark, tmp_path):
+    path = write(tmp_path, "lead.csv", "\n , \n" * 400 + f"name,sequence\nAG1,{A}\n")
+    assert load(spark, path) == [("AG1", A)]
+    rows = [("AG1", A[:20] + "\n" + A[20:]), ("AG\n2", B), ('A "3"', A), ("AG4", "short")] * 40
+    rows = [(f"{i}#{n}", q) for n, (i, q) in enumerate(rows)]
+    text = "name,sequence\n" + "".join(
+        '"' + i.replace('"', '""') + f'","{q}"\n' if n % 2 else f'"{i}",{q}\n' if "\n" not in q and '"' not in i
+        else '"' + i.replace('"', '""') + f'","{q}"\n' for n, (i, q) in enumerate(rows))
+    text += f'AG5"a,b"c,{A}\nAG6"x,{B}\n'
+    path = write(tmp_path, "quoted.csv", text)
+    expected = [(n + 2, r[0].strip(), r[1]) for n, r in enumerate(csv.reader(io.StringIO(text))) if n]
+    expected = [(n - 1, i, "".join(c for c in q if c.isalpha())) for n, i, q in expected]
+    for size in ("134217728", "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = [(r["ordinal"], r["id"], r["sequence"]) for r in files.load_csv(
+            spark, path, verbose=False).orderBy("ordinal").collect()]
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == [(n, i, q.upper()) for n, i, q in expected if len(q) >= 8 and set(q.upper()) <= set(C.AMINO_ACIDS)]
+
+
 def test_limits_and_errors(spark, tmp_path, capsys):
     good = write(tmp_path, "a.csv", f"name,sequence\nAG1,{A}\n")
     assert load(spark, good, max_len=10) == []
@@ -151,25 +187,22 @@ def test_old_tables_get_defaults(spark, tmp_path):
 
 @pytest.mark.parametrize("backend", ["kmer", "vectorized"])
 def test_run_resume_and_recall(spark, tmp_path, backend):
-    data = synthetic.benchmark_set(spark, 200).collect()
-    path = write(tmp_path, "in.csv", ";name;sequence\n" + "".join(f";{r['name']};{r['sequence']}\n" for r in data))
+    data = families(3)
+    path = write(tmp_path, "in.csv", ";name;sequence\n" + "".join(f";{n};{q}\n" for n, q in data))
     folder = str(tmp_path / "store")
-    stats = run_screen(spark, path, folder, tag=synthetic.TAG, backend=backend, verbose=False)
+    stats = run_screen(spark, path, folder, tag=TAG, backend=backend, verbose=False)
     store = ResultStore(spark, folder)
-    assert stats["total_antigens"] == stats["tag_found"] == 200
-    first = store.antigens.filter("id = 'CYTK01_01'").first()
-    assert first["sequence"] == synthetic.TAG + first["stripped"] and first["tag_found"] == 1
+    assert stats["total_antigens"] == stats["tag_found"] == len(data)
+    first = store.antigens.filter("id = 'fam0_0'").first()
+    assert first["sequence"] == TAG + first["stripped"] and first["tag_found"] == 1
     pairs = {frozenset((r["query_id"], r["target_id"])) for r in store.similarities.collect()}
-    planted = [r["name"] for r in data if r["name"].startswith("CYTK")]
-    related = {frozenset((a, b)) for a in planted for b in planted if a < b and a[:6] == b[:6]}
+    planted = [n for n, _ in data if n.startswith("fam")]
+    related = {frozenset((a, b)) for a in planted for b in planted if a < b and a[:4] == b[:4]}
     assert len(related & pairs) / len(related) > 0.9
-    if backend == "vectorized":
-        epitopes = [r["name"] for r in data if r["name"].startswith("EPI")]
-        assert all(frozenset((a, b)) in pairs for a in epitopes for b in epitopes if a < b and a[:5] == b[:5])
     before = store.similarity_count()
-    again = run_screen(spark, path, folder, tag=synthetic.TAG, backend=backend, verbose=False)
+    again = run_screen(spark, path, folder, tag=TAG, backend=backend, verbose=False)
     assert store.similarity_count() == before and again["total_pairs"] == 0
-    assert store.get_meta("total_antigens") == "200"
+    assert store.get_meta("total_antigens") == str(len(data))
 
 
 def test_unsupported_matrix(spark, tmp_path):
@@ -195,16 +228,6 @@ def test_command_line(spark, tmp_path, capsys):
     assert [cli.duration(s) for s in (5, 90, 7200)] == ["5s", "1.5min", "2.0hr"]
 
 
-def test_synthetic_sets(spark):
-    simple = {r["antigen_id"]: r["sequence"] for r in synthetic.simple_set(spark, 80).collect()}
-    assert len(simple) == 80 and sum(k.startswith("FAM") for k in simple) == 50
-    assert all(set(s) <= set(C.AMINO_ACIDS) and 40 <= len(s) <= 120 for s in simple.values())
-    assert simple == {r["antigen_id"]: r["sequence"] for r in synthetic.simple_set(spark, 80).collect()}
-    many = synthetic.benchmark_set(spark, 300).collect()
-    assert len(many) == 300 and all(r["sequence"].startswith(synthetic.TAG) for r in many)
-    assert all("RPCHQFNV" in r["sequence"] for r in many if r["name"].startswith("EPI01"))
-
-
 SMALL = "/root/testdata/sf0.001"
 
 
