@@ -267,7 +267,8 @@ passing AS (SELECT * FROM details WHERE chain >= 2 OR mean >= 3)"""
 
 
 def _ids(relation: str, columns: str = "") -> str:
-    return f"""SELECT a.id AS query_id, b.id AS target_id{columns} FROM {relation}
+    return f"""SELECT a.id AS query_id, b.id AS target_id,
+  a.copies AS query_copies, b.copies AS target_copies{columns} FROM {relation}
 JOIN nodes a ON a.node = q JOIN nodes b ON b.node = t"""
 
 
@@ -474,15 +475,17 @@ def oracle_queries() -> dict[str, str]:
         "two_pass_candidates": f"""WITH {_WORD_NODES},{_jaccard()},{CHAIN},
             two AS (SELECT q, t, jaccard FROM jac UNION ALL SELECT q, t, 0::double FROM chain ANTI JOIN jac USING (q, t))
             {_ids('two', ', ' + _round('jaccard', 6) + ' AS jaccard')}""",
-        "ra_candidates": f"WITH {_MESSAGE_NODES},{_DETAILS} SELECT query_id, target_id FROM passing",
-        "ra_rescue": f"WITH {_MESSAGE_NODES},{_DETAILS} SELECT query_id, target_id FROM passing WHERE chain < 2",
+        "ra_candidates": f"WITH {_MESSAGE_NODES},{_DETAILS} {_ids('passing')}",
+        "ra_rescue": f"WITH {_MESSAGE_NODES},{_DETAILS} {_ids('(SELECT * FROM passing WHERE chain < 2)')}",
         "ra_details": f"""WITH {_MESSAGE_NODES},{_DETAILS} SELECT query_id, target_id, chain AS chain_length, d AS diagonal,
             start AS chain_start_qpos, len AS region_len, {_round('mean', 4)} AS blosum62_mean, chain >= 2 AS passed_chain,
             chain < 2 AND mean >= 3 AS rescued FROM details""",
-        "triangular_pairs": f"""WITH {_WORD_NODES} SELECT id, row_number() OVER o - 1 AS rank,
-            count(*) OVER () - row_number() OVER o AS targets FROM nodes WINDOW o AS (ORDER BY len DESC, node)""",
+        "triangular_pairs": f"""WITH {WORDS} SELECT id, row_number() OVER o - 1 AS rank,
+            count(*) OVER () - row_number() OVER o AS targets FROM words WINDOW o AS (ORDER BY length(sequence) DESC, ordinal)""",
+        "identical_copies": f"""WITH {WORDS} SELECT id, first_value(id) OVER (PARTITION BY sequence ORDER BY ordinal) AS class_id,
+            count(*) OVER (PARTITION BY sequence) AS copies FROM words""",
         "resume_pending": f"""WITH {_WORD_NODES},{_jaccard()} SELECT id, len AS length FROM nodes
-            WHERE node NOT IN (SELECT q FROM jac)""",
+            WHERE copies = 1 AND node NOT IN (SELECT q FROM jac)""",
         "filter_quality": _family_numbers(),
         "family_sensitivity": f"""WITH {_FAMILY}, sizes AS (SELECT family, count(*) AS members FROM members GROUP BY 1),
             hit AS (SELECT t.family, count(*) AS found FROM truth t JOIN found f ON f.a = t.a AND f.b = t.b GROUP BY 1)
@@ -500,9 +503,9 @@ def oracle_queries() -> dict[str, str]:
         "live_query": f"""WITH RECURSIVE {_WORD_NODES}, probe AS (SELECT {_WORDS.format("replace(text, chr(10), ' ')")} AS q
               FROM benchmark ORDER BY item_id LIMIT 1),
             pairs AS (SELECT node AS pid, q, s AS t FROM nodes, probe),{_align('pairs')},
-            hits AS (SELECT *, row_number() OVER (ORDER BY evalue, node) AS rank FROM (
-              SELECT n.id, n.node, n.len, raw_score, target_end, {_evalue('raw_score', '(SELECT length(q) FROM probe)', _DB)} AS evalue
-              FROM aligned JOIN nodes n ON node = pid) WHERE evalue <= 10 AND target_end >= 8)
+            hits AS (SELECT *, row_number() OVER (ORDER BY evalue, ordinal) AS rank FROM (
+              SELECT w.id, w.ordinal, n.len, raw_score, target_end, {_evalue('raw_score', '(SELECT length(q) FROM probe)', _DB)} AS evalue
+              FROM aligned JOIN nodes n ON node = pid JOIN words w ON w.sequence = n.s) WHERE evalue <= 10 AND target_end >= 8)
             SELECT rank, id AS target_id, raw_score, {_round(_bits('raw_score'), 1)} AS bit_score, {_round('log10(evalue)', 6)} AS log_evalue,
               {_tier('evalue')} AS significance, target_end AS aligned_region_len, len AS target_length FROM hits WHERE rank <= 25""",
         "antigen_scan": f"WITH {WORDS} SELECT id, sequence AS stripped FROM words",

@@ -10,13 +10,14 @@ from crossmer.operators.nodes import NodeSet
 from crossmer.operators.scoring import align_pair
 
 
-def live_query(sequence: str, nodes: NodeSet, max_evalue: float = C.MAX_EVALUE,
+def live_query(sequence: str, nodes: NodeSet, antigens: DataFrame, max_evalue: float = C.MAX_EVALUE,
                min_aligned_len: int = C.MIN_ALIGNED, top_n: int = C.CLI_TOP_N,
                query_id: str = "<query>") -> DataFrame:
-    """Top hits of one sequence, best E-value first.
+    """Top antigens of one sequence, best E-value first, then in input order.
 
     The query is a literal, so the search is one pass over the distinct
-    sequences; copies of a hit share its score and are listed under the first.
+    sequences. The best ``top_n`` antigens belong to the best ``top_n`` of these,
+    whose copies are then looked up.
     """
     pairs = nodes.frame.select(
         F.lit(query_id).alias("query_id"), F.col("id").alias("target_id"),
@@ -24,7 +25,10 @@ def live_query(sequence: str, nodes: NodeSet, max_evalue: float = C.MAX_EVALUE,
         F.lit(sequence.strip().upper()).alias("query_seq"), F.col("sequence").alias("target_seq"))
     hits = align_pair(pairs, "query_seq", "target_seq", nodes.residues).filter(
         (F.col("evalue") <= max_evalue) & (F.col("aligned_region_len") >= min_aligned_len))
-    best = hits.orderBy("evalue", "ordinal").limit(top_n)
+    sequences = hits.orderBy("evalue", "ordinal").limit(top_n).drop("target_id", "ordinal")
+    copies = antigens.select(F.col("id").alias("target_id"), "ordinal", "sequence").join(
+        F.broadcast(sequences), F.col("sequence") == F.col("target_seq")).drop("sequence")     # at most top_n rows
+    best = copies.orderBy("evalue", "ordinal").limit(top_n)
     # at most top_n rows are left, so ranking them in one task is safe
     return best.withColumn("rank", F.row_number().over(W.orderBy("evalue", "ordinal"))).withColumn(
         "significance", significance(F.col("evalue")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from crossmer import constants as C
 from crossmer.functions import physchem as P, sequence as Q, statistics as S
 from crossmer.operators import loading, ordering, scoring, seeds, tables, tags
+from crossmer.operators.storage import materialize
 from crossmer.operators.nodes import NodeSet, attach, both_directions, build_nodes
 from crossmer.plans import lookup, quality, screen
 from crossmer.sources.tables import (
@@ -62,8 +63,10 @@ def _item_nodes(spark, folder) -> NodeSet:
 
 
 def _named(directed: DataFrame, nodes: NodeSet, *columns) -> DataFrame:
-    return attach(directed, nodes.frame, ["id"]).select(
-        F.col("q_id").alias("query_id"), F.col("t_id").alias("target_id"), *columns)
+    """Pairs under the first id of each sequence, with its number of copies (see `identical_copies`)."""
+    return attach(directed, nodes.frame, ["id", "copies"]).select(
+        F.col("q_id").alias("query_id"), F.col("t_id").alias("target_id"),
+        F.col("q_copies").alias("query_copies"), F.col("t_copies").alias("target_copies"), *columns)
 
 
 def _joined(array) -> Column:
@@ -430,9 +433,18 @@ def ra_candidates_documents(spark, folder):
 @query
 def triangular_pairs(spark, folder):
     """Screen order and the number of targets each query is compared with."""
-    nodes = _word_nodes(spark, folder)
-    ranked = ordering.screen_rank(nodes.frame.withColumnRenamed("node", "ordinal"))
-    return ranked.select("id", "rank", (F.lit(nodes.count - 1) - F.col("rank")).alias("targets"))
+    antigens = materialize(word_antigens(spark, folder).select("id", "ordinal", F.length("sequence").alias("length")))
+    ranked = ordering.screen_rank(antigens)
+    return ranked.select("id", "rank", (F.lit(antigens.count() - 1) - F.col("rank")).alias("targets"))
+
+
+@query
+def identical_copies(spark, folder):
+    """Every antigen with the id that its sequence has in pairs, and the number of copies."""
+    antigens = word_antigens(spark, folder)
+    nodes = build_nodes(antigens).frame
+    return antigens.select("id", "sequence").join(
+        nodes.select("sequence", F.col("id").alias("class_id"), "copies"), "sequence").drop("sequence")
 
 
 @query
@@ -440,7 +452,8 @@ def resume_pending(spark, folder):
     """Queries left when those with stored pairs are skipped."""
     nodes = _word_nodes(spark, folder)
     done = both_directions(seeds.jaccard_pairs(nodes)).select(F.col("q_node").alias("node")).distinct()
-    return nodes.frame.join(done, "node", "left_anti").select("id", "length")
+    # copies of one sequence are a stored pair too
+    return nodes.frame.filter("copies = 1").join(done, "node", "left_anti").select("id", "length")
 
 
 # --- filter quality ------------------------------------------------------------------------
@@ -520,8 +533,8 @@ def screen_vectorized_documents(spark, folder):
 def live_query(spark, folder):
     """One sequence (the first benchmark item) against all document lines."""
     first = word_items(spark, folder).orderBy("ordinal").first()
-    nodes = _word_nodes(spark, folder)
-    found = lookup.live_query(first["sequence"], nodes, max_evalue=C.EXPORT_MAX_EVALUE)
+    antigens = word_antigens(spark, folder)
+    found = lookup.live_query(first["sequence"], build_nodes(antigens), antigens, max_evalue=C.EXPORT_MAX_EVALUE)
     return found.select(
         "rank", "target_id", "raw_score", S.round_to(F.col("bit_score"), 1).alias("bit_score"),
         _log_evalue(F.col("evalue")).alias("log_evalue"), "significance", "aligned_region_len",
