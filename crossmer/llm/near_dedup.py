@@ -219,6 +219,10 @@ def _left_over(met: DataFrame, own: DataFrame, sets: DataFrame, taken: DataFrame
         "x_row", F.col("column").alias("x_column"), *[F.col(c).alias(f"x_{c}") for c in columns])
     y = placed.withColumn("y_column", F.explode(F.sequence(F.lit(0), F.col("across") - 1))).select(
         F.col("row").alias("y_row"), "y_column", *[F.col(c).alias(f"y_{c}") for c in columns])
+    # tiles are small enough as they are: dealt out here, Spark does not split them again into thousands of tasks
+    tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = x.repartition(tasks, "x_leader", "x_row", "x_column")
+    y = y.repartition(tasks, "y_leader", "y_row", "y_column")
     tile = ((F.col("x_leader") == F.col("y_leader")) & (F.col("x_row") == F.col("y_row"))
             & (F.col("x_column") == F.col("y_column")))
     tested = F.col("y_sig") == F.col("y_leader")       # the pair was verified in the first round
