@@ -30,6 +30,15 @@ SCORE_GUIDE = """
 """
 
 
+START = """crossmer compares every antigen of a file with every other one.
+
+  1. crossmer run --input antigens.csv --db store      screen a file
+  2. crossmer query --db store --id AG1                partners of one antigen
+  3. crossmer query --db store --seq ACDEFGHIKL        search with any sequence
+  4. crossmer export --db store                        all pairs as CSV
+"""
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("crossmer").getOrCreate()
 
@@ -46,7 +55,7 @@ def _open(path: str):
 
     store = ResultStore(session(), path)
     if not store.exists():
-        print(f"Error: store not found at {path}")
+        print(f"{path} is not a store")
         sys.exit(1)
     return store
 
@@ -92,32 +101,35 @@ def cmd_query(args) -> None:
             store.total_residues()).limit(args.top_n).select("*", *shown).collect()
         partner = "target_id"
     if not rows:
-        print("  No similar antigens found below E-value threshold.")
+        print("  nothing reaches the E-value asked for")
         return
-    print(f"  {'Rank':<5} {'ID':<25} {'E-value':<12} {'Bit score':<10} {'Significance':<16} Aligned")
+    print(f"  {'#':<5} {'antigen':<25} {'E':<12} {'bits':<10} {'class':<16} aligned to")
     for rank, row in enumerate(rows, 1):
         extra = ""
         if args.id and row["pc_composite_score"] is not None:
             extra = f"  {row['pc_composite_score']:.3f}  {row['detection_source'] or ''}"
         print(f"  {rank:<5} {row[partner]:<25} {row['e_text']:<12} {row['bit_score']:<10.1f} "
               f"{row['significance']:<16} {row['aligned_region_len']}{extra}")
+    print(f"\n  First hit, {rows[0][partner]}:")
+    for name, value in rows[0].asDict().items():
+        if value is not None and name not in (partner, "e_text"):
+            print(f"    {name.replace('_', ' ')}: {value:.4g}" if isinstance(value, float) else f"    {name.replace('_', ' ')}: {value}")
 
 
 def cmd_export(args) -> None:
     store = _open(args.db)
     output = args.output or f"{args.db.rstrip('/')}.csv"
-    print(f"Exported {store.export_csv(output, args.max_evalue):,} similarity pairs to: {output}")
+    print(f"{store.export_csv(output, args.max_evalue):,} pairs written to {output}")
 
 
 def cmd_stats(args) -> None:
     store = _open(args.db)
-    print(f"  Antigens indexed:  {store.antigen_count():,}")
-    print(f"  Total residues:    {store.total_residues():,}")
-    print(f"  Similarity pairs:  {store.similarity_count():,}")
-    print(f"  Last run:          {store.get_meta('last_run') or 'unknown'}")
+    print(f"  antigens: {store.antigen_count():,} with {store.total_residues():,} residues")
+    print(f"  stored pairs: {store.similarity_count():,}")
+    print(f"  latest screen: {store.get_meta('last_run') or 'none recorded'}")
     size = store.get_meta("db_size_residues")
     if size:
-        print(f"  DB size (residues): {int(size):,}")
+        print(f"  search space of that screen: {int(size):,} residues")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -169,6 +181,7 @@ def main(argv: list[str] | None = None) -> None:
     top = parser()
     args = top.parse_args(argv)
     if not args.command:
+        print(START)
         top.print_help()
         return
     started = time.perf_counter()

@@ -10,8 +10,8 @@ from crossmer import constants as C
 from crossmer.operators import nodes as N, ordering, seeds
 from crossmer.plans import quality, screen
 
-SHARED_LONG, SHARED_SHORT, SHARED_MIN = "KQIRYLDGISALRKETCNKS", "RPCHQFNV", "CHQFNV"
-K, D, E, H = ("K" * 35, "D" * 35, "E" * 35, "H" * 35)
+TWENTY, EIGHT, SIX = "WVTMDHYKFLQAGSRNEICP", "FWYTMKAD", "YTMKAD"
+FLANKS = [letter * 31 for letter in "GPNQ"]
 
 
 def antigens(spark, records):
@@ -109,10 +109,11 @@ def test_contiguous(spark, limit):
     assert got == expected
 
 
-def test_published_pairs(spark):
-    records = [("LA", K + SHARED_LONG + D), ("LB", E + SHARED_LONG + H), ("SA", K + SHARED_SHORT + D),
-               ("SB", E + SHARED_SHORT + H), ("MA", K + SHARED_MIN + D), ("MB", E + SHARED_MIN + H),
-               ("XA", "ACDE" + "L" * 16 + "RPCH"), ("XB", "RPCH" + "M" * 20 + "ACDE")]
+def test_planted_pairs(spark):
+    g, p, n, q = FLANKS
+    records = [(f"{name}{side}", before + core + after) for name, core in (("L", TWENTY), ("S", EIGHT), ("M", SIX))
+               for side, before, after in (("A", g, p), ("B", n, q))]
+    records += [("XA", "MHWY" + "I" * 15 + "KFCT"), ("XB", "KFCT" + "V" * 19 + "MHWY")]     # two seeds, no chain
     nodes = N.build_nodes(antigens(spark, records))
     strong = ids(N.both_directions(seeds.jaccard_pairs(nodes)), nodes)
     both = ids(N.both_directions(seeds.two_pass_pairs(nodes, threshold=0.2), "jaccard"), nodes, "jaccard")

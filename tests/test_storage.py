@@ -221,8 +221,8 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["help-scores"])
     cli.main([])
     out = capsys.readouterr().out
-    assert "Similar pairs found: 2" in out and "very high" in out and "Antigens indexed:  3" in out
-    assert "Exported 2 similarity pairs" in out and "Completed in" in out
+    assert "Similar pairs found: 2" in out and "very high" in out and "antigens: 3 with" in out and "First hit, A" in out
+    assert "2 pairs written to" in out and "search with any sequence" in out and "Completed in" in out
     with pytest.raises(SystemExit):
         cli.main(["stats", "--db", str(tmp_path / "none")])
     assert [cli.duration(s) for s in (5, 90, 7200)] == ["5s", "1.5min", "2.0hr"]
