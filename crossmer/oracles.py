@@ -42,7 +42,7 @@ _WORDS = (
 )
 LINES = """lines AS (
   SELECT doc_id, source, lang, i - 1 AS pos, 'D' || doc_id || ':' || (i - 1) AS id,
-         doc_id * 1048576 + i - 1 AS ordinal, l[i] AS line
+         doc_id * 268435456 + i - 1 AS ordinal, l[i] AS line
   FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents),
        LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i))"""
 LETTERS = f"""{LINES}, letters AS (
@@ -52,7 +52,7 @@ WORDS = f"""{LINES}, words AS (
   SELECT * FROM (SELECT id, ordinal, doc_id, pos, {_WORDS.format('line')} AS sequence FROM lines)
   WHERE length(sequence) >= 8)"""
 MESSAGES = f"""messages AS (
-  SELECT * FROM (SELECT 'C' || conv_id || ':' || turn AS id, conv_id * 1048576 + turn AS ordinal,
+  SELECT * FROM (SELECT 'C' || conv_id || ':' || turn AS id, conv_id * 268435456 + turn AS ordinal,
     conv_id, {_WORDS.format("replace(text, chr(10), ' ')")} AS sequence FROM conversations)
   WHERE length(sequence) >= 8)"""
 ITEMS = f"""items AS (
@@ -272,6 +272,7 @@ def _ids(relation: str, columns: str = "") -> str:
 JOIN nodes a ON a.node = q JOIN nodes b ON b.node = t"""
 
 
+_RANK = ", row_number() OVER (PARTITION BY q ORDER BY jaccard DESC, t) AS rank"
 _PRECEDES = "(a.len > b.len OR (a.len = b.len AND a.node < b.last))"
 _SELF = "SELECT node AS q, node AS t FROM nodes WHERE copies > 1"
 _DB = "(SELECT sum(len * copies) FROM nodes)"
@@ -470,16 +471,17 @@ def oracle_queries() -> dict[str, str]:
             best AS (SELECT * FROM (SELECT q, t, chain + 5 AS run, start + chain + 4 AS qe, start - d + chain + 4 AS te,
               row_number() OVER (PARTITION BY q, t ORDER BY chain DESC, start + chain, start - d + chain) AS rk FROM islands) WHERE rk = 1)
             {_ids('best', ', run, qe AS run_query_end, te AS run_target_end')}""",
-        "kmer_jaccard_join": f"WITH {_WORD_NODES},{_jaccard()} {_ids('jac', ', ' + _round('jaccard', 6) + ' AS jaccard')}",
+        "kmer_jaccard_join": f"WITH {_WORD_NODES},{_jaccard()} {_ids('jac', ', ' + _round('jaccard', 6) + ' AS jaccard' + _RANK)}",
         "kmer_chain_join": f"WITH {_WORD_NODES},{CHAIN} {_ids('chain')}",
         "two_pass_candidates": f"""WITH {_WORD_NODES},{_jaccard()},{CHAIN},
             two AS (SELECT q, t, jaccard FROM jac UNION ALL SELECT q, t, 0::double FROM chain ANTI JOIN jac USING (q, t))
-            {_ids('two', ', ' + _round('jaccard', 6) + ' AS jaccard')}""",
+            {_ids('two', ', ' + _round('jaccard', 6) + ' AS jaccard' + _RANK)}""",
         "ra_candidates": f"WITH {_MESSAGE_NODES},{_DETAILS} {_ids('passing')}",
         "ra_rescue": f"WITH {_MESSAGE_NODES},{_DETAILS} {_ids('(SELECT * FROM passing WHERE chain < 2)')}",
         "ra_details": f"""WITH {_MESSAGE_NODES},{_DETAILS} SELECT query_id, target_id, chain AS chain_length, d AS diagonal,
             start AS chain_start_qpos, len AS region_len, {_round('mean', 4)} AS blosum62_mean, chain >= 2 AS passed_chain,
-            chain < 2 AND mean >= 3 AS rescued FROM details""",
+            chain < 2 AND mean >= 3 AS rescued,
+            row_number() OVER (PARTITION BY q ORDER BY chain DESC, mean DESC NULLS LAST, t) AS rank FROM details""",
         "triangular_pairs": f"""WITH {WORDS} SELECT id, row_number() OVER o - 1 AS rank,
             count(*) OVER () - row_number() OVER o AS targets FROM words WINDOW o AS (ORDER BY length(sequence) DESC, ordinal)""",
         "identical_copies": f"""WITH {WORDS} SELECT id, first_value(id) OVER (PARTITION BY sequence ORDER BY ordinal) AS class_id,

@@ -69,6 +69,11 @@ def _named(directed: DataFrame, nodes: NodeSet, *columns) -> DataFrame:
         F.col("q_copies").alias("query_copies"), F.col("t_copies").alias("target_copies"), *columns)
 
 
+def _rank(*order: Column) -> Column:
+    """Place of a candidate among those of its query; ties in input order."""
+    return F.row_number().over(W.partitionBy("q_node").orderBy(*order, "t_node")).alias("rank")
+
+
 def _joined(array) -> Column:
     return F.array_join(array, ",")
 
@@ -379,7 +384,7 @@ def contiguous_match(spark, folder):
 def kmer_jaccard_join(spark, folder):
     nodes = _word_nodes(spark, folder)
     return _named(both_directions(seeds.jaccard_pairs(nodes), "jaccard"), nodes,
-                  S.round_to(F.col("jaccard"), 6).alias("jaccard"))
+                  S.round_to(F.col("jaccard"), 6).alias("jaccard"), _rank(F.desc("jaccard")))
 
 
 @query
@@ -392,7 +397,7 @@ def kmer_chain_join(spark, folder):
 def two_pass_candidates(spark, folder):
     nodes = _word_nodes(spark, folder)
     return _named(both_directions(seeds.two_pass_pairs(nodes), "jaccard"), nodes,
-                  S.round_to(F.col("jaccard"), 6).alias("jaccard"))
+                  S.round_to(F.col("jaccard"), 6).alias("jaccard"), _rank(F.desc("jaccard")))
 
 
 @query
@@ -419,7 +424,8 @@ def ra_details(spark, folder):
     found = seeds.diagonal_details(nodes)
     return found.select(
         "query_id", "target_id", "chain_length", "diagonal", "chain_start_qpos", "region_len",
-        S.round_to(F.col("blosum62_mean"), 4).alias("blosum62_mean"), "passed_chain", "rescued")
+        S.round_to(F.col("blosum62_mean"), 4).alias("blosum62_mean"), "passed_chain", "rescued",
+        _rank(F.desc("chain_length"), F.desc_nulls_last("blosum62_mean")))
 
 
 @query

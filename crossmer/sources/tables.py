@@ -11,14 +11,19 @@ over every row and the whole text:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crossmer import constants as C
 from crossmer.operators.storage import spread
 from crossmer.functions.sequence import clean_sequence, is_valid_sequence, word_residues
 
-LINES_PER_DOCUMENT = 1 << 20
-TURNS_PER_CONVERSATION = 1 << 20
+POSITIONS = 1 << 28        # lines of a document or turns of a conversation; more are refused
+
+
+def input_order(owner: str, position: str) -> Column:
+    """A unique number per (owner, position), in that order."""
+    too_many = F.raise_error(F.concat(F.lit(f"{owner} "), F.col(owner), F.lit(" has too many parts"))).cast("bigint")
+    return F.when(F.col(position) < POSITIONS, F.col(owner) * POSITIONS + F.col(position)).otherwise(too_many)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,7 +40,7 @@ def document_lines(spark: SparkSession, folder: str) -> DataFrame:
         text_table(spark, folder, "documents", "doc_id", "source", "lang", "text")
         .select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .withColumn("id", F.concat(F.lit("D"), F.col("doc_id"), F.lit(":"), F.col("pos")))
-        .withColumn("ordinal", F.col("doc_id") * LINES_PER_DOCUMENT + F.col("pos"))
+        .withColumn("ordinal", input_order("doc_id", "pos"))
     )
 
 
@@ -64,7 +69,7 @@ def message_antigens(spark: SparkSession, folder: str) -> DataFrame:
         text_table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
         .select(
             F.concat(F.lit("C"), F.col("conv_id"), F.lit(":"), F.col("turn")).alias("id"),
-            (F.col("conv_id") * TURNS_PER_CONVERSATION + F.col("turn")).alias("ordinal"),
+            input_order("conv_id", "turn").alias("ordinal"),
             "conv_id", "turn", "role",
             word_residues(F.translate("text", "\n", " ")).alias("sequence"),
         )
