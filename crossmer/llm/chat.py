@@ -1,10 +1,10 @@
 """Chat formatting from an event log (operator 4).
 
 A log has one event per row: conv_id, seq, kind, message, role, text. Events of a
-conversation count in the order of seq:
+conversation count in the order of seq, and the last role named for a message counts:
 
 * `message` sets role and text of a message;
-* `delta` appends to the text of its message (and gives its role if it has none);
+* `delta` appends to the text of its message;
 * `edit` replaces the text;
 * `regenerate` empties the text and drops all later messages of the conversation.
 
