@@ -477,6 +477,7 @@ def oracle_queries() -> dict[str, str]:
             two AS (SELECT q, t, jaccard FROM jac UNION ALL SELECT q, t, 0::double FROM chain ANTI JOIN jac USING (q, t))
             {_ids('two', ', ' + _round('jaccard', 6) + ' AS jaccard' + _RANK)}""",
         "ra_candidates": f"WITH {_MESSAGE_NODES},{_DETAILS} {_ids('passing')}",
+        "ra_candidates_documents": f"WITH {_WORD_NODES},{_DETAILS} SELECT query_id, count(*) AS passes FROM passing GROUP BY 1",
         "ra_rescue": f"WITH {_MESSAGE_NODES},{_DETAILS} {_ids('(SELECT * FROM passing WHERE chain < 2)')}",
         "ra_details": f"""WITH {_MESSAGE_NODES},{_DETAILS} SELECT query_id, target_id, chain AS chain_length, d AS diagonal,
             start AS chain_start_qpos, len AS region_len, {_round('mean', 4)} AS blosum62_mean, chain >= 2 AS passed_chain,
