@@ -138,7 +138,7 @@ class Grammar:
         return [known[t] for t in tokens]
 
     def clauses(self, text: str) -> list[list[tuple[int, float]]]:
-        """(kind, weight) of the matches of every clause that has any."""
+        """(kind, weight) of the different matches of every clause that has any."""
         arcs = self.arcs(text)
         if not any(symbol == MATCH for symbol, _ in arcs):
             return []
@@ -147,7 +147,9 @@ class Grammar:
             if symbol == OTHER and state < 8 and not matches:      # nothing open that a word could change
                 continue
             if symbol == MATCH:
-                matches.append((_KIND[state][symbol], weight))
+                found = (_KIND[state][symbol], weight)
+                if found not in matches:       # a word repeated over and over says no more
+                    matches.append(found)
             elif symbol == TARGETING:
                 targets = True
             elif symbol == STOP:

@@ -21,6 +21,7 @@ def test_clauses_and_states():
     assert kinds("he said scum; scum") == [[tx.REPORTED], [tx.PLAIN]]
     assert kinds('the "scum" and scum') == [[tx.REPORTED, tx.PLAIN]]
     assert kinds("never said idiots scum") == [[tx.NEGATED, tx.NEGATED]]
+    assert kinds("scum scum scum idiot") == [[tx.PLAIN, tx.PLAIN]]
     assert kinds("") == kinds("nothing here") == [] and GRAMMAR.features(None) == [0.0] * tx.FEATURES
 
 
@@ -28,17 +29,18 @@ def plain_kinds(text):
     """The same machine, word by word without the composed table."""
     out, clause, n, reported, quoted, targeted = [], [], 0, False, False, False
     for token in [*tx.TOKEN.findall(text.lower()), "."]:
-        symbol, _ = GRAMMAR._arc(token)
+        symbol, weight = GRAMMAR._arc(token)
         if symbol == tx.STOP:
             if clause:
-                out.append([tx.TARGETED if k == tx.PLAIN and targeted else k for k in clause])
+                out.append([tx.TARGETED if k == tx.PLAIN and targeted else k for k, _ in dict.fromkeys(clause)])
             clause, n, reported, targeted = [], 0, False, False
             continue
         if symbol == tx.QUOTE:
             quoted = not quoted
             continue
         if symbol == tx.MATCH:
-            clause.append(tx.NEGATED if n else tx.REPORTED if reported or quoted else tx.TARGETED if targeted else tx.PLAIN)
+            kind = tx.NEGATED if n else tx.REPORTED if reported or quoted else tx.TARGETED if targeted else tx.PLAIN
+            clause.append((kind, weight))
         n = tx.NEGATION_REACH if symbol == tx.NEGATING else max(0, n - 1)
         reported, targeted = reported or symbol == tx.REPORT, targeted or symbol == tx.TARGETING
     return out
