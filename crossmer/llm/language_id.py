@@ -278,10 +278,14 @@ def identify_pages(pages: DataFrame, models: TextModels) -> DataFrame:
 
 
 def accepted_documents(documents: DataFrame, models: TextModels) -> DataFrame:
-    """The documents with a known language, with all their columns; rows with equal doc_id stay if one is accepted."""
+    """The documents with a known language, with all their columns.
+
+    Rows with equal doc_id stay if one is accepted; rows without one cannot be named and stay.
+    """
     found = identify_documents(documents, models).filter("accepted AND id IS NOT NULL").select(
         F.col("id").alias("accepted_id")).distinct()
-    return documents.join(found, documents["doc_id"].cast("long") == found["accepted_id"], "left_semi")
+    named = documents.join(found, documents["doc_id"].cast("long") == found["accepted_id"], "left_semi")
+    return named.unionByName(documents.filter(F.col("doc_id").isNull()))
 
 
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
