@@ -5,8 +5,8 @@ predecessor kept. Stages are written as Parquet and read again, so a lost execut
 costs at most one stage. All but the last return the columns of documents.
 
 Models of the first two stages are fitted on the documents they are given and the
-labels of the table folder. A document with null doc_id passes the stages that name
-documents by id (language, near-dedup, decontamination).
+labels of the table folder. Every stage decides by row: rows that share a doc_id or have
+none are told apart by their content, and repeated rows are near duplicates.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BATCH_BYTES = 8 << 20
 
@@ -14,6 +14,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def content_key(*columns: str) -> Column:
+    """16 bytes that tell rows apart by these columns: equal keys, equal values (null is no text).
+
+    Each value is led by its length, so no two lists of values give the same bytes.
+    """
+    parts = [F.coalesce(F.concat(F.octet_length(v), F.lit(":"), v), F.lit("-"))
+             for v in (F.col(c).cast("string") for c in columns)]
+    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose `column` holds about `limit` bytes; a longer value is alone."""
     import numpy as np

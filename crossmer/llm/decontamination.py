@@ -27,8 +27,9 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crossmer.llm.common import pieces, table
 
@@ -226,10 +227,29 @@ def contaminated(documents: DataFrame, items: DataFrame, block_chars: int = BLOC
     return result
 
 
-def without_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that contain no item's passage, with all their columns."""
-    hit = contaminated(documents, items).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("hit_id")).distinct()
-    return documents.join(hit, documents["doc_id"].cast("long") == hit["hit_id"], "left_anti")
+def _clean(spark: SparkSession, items_of_block: list[tuple[int, str]]) -> Column:
+    """Whether `text` contains no passage of these items."""
+    import uuid
+
+    shared, key = spark.sparkContext.broadcast(items_of_block), uuid.uuid4().hex
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = _matcher(key, shared.value)
+        for texts in batches:
+            yield pd.Series([not (isinstance(t, str) and t and matcher.find(normal(t))) for t in texts], dtype=bool)
+
+    return clean("text")
+
+
+def without_passages(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that contain no item's passage, with all their columns.
+
+    Every row is decided by its own text, whatever its doc_id; rows are not shuffled.
+    """
+    for items_of_block in item_blocks(items, block_chars):
+        documents = documents.filter(_clean(documents.sparkSession, items_of_block))
+    return documents
 
 
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:

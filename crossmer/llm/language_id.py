@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from crossmer.llm.common import pieces, table
+from crossmer.llm.common import content_key, pieces, table
 from crossmer.llm.url_rules import host_of
 from crossmer.llm.words import batches as byte_batches
 from crossmer.operators.storage import materialize
@@ -175,7 +175,8 @@ def text_evidence(rows: DataFrame, models: TextModels, html: bool = False) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes), lists, text_only],
                                              [*names, "size", "logs", "parts"])
 
-    schema = "id long, declared string, host string, suffix string, size long, logs array<double>, parts array<double>"
+    schema = (f"id {rows.schema['id'].dataType.simpleString()}, declared string, host string, suffix string, size long, "
+              "logs array<double>, parts array<double>")
     no_null = [F.coalesce(n, F.lit("")).alias(n) for n in ("host", "suffix")]
     return rows.select("id", "declared", *no_null, "text").mapInArrow(run, schema)
 
@@ -206,7 +207,7 @@ def domain_of(host: Column) -> Column:
     return F.when(F.size(labels) > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(host)
 
 
-RESULT = "id long, language string, probability double, text_language string, size long, accepted boolean"
+RESULT = "language string, probability double, text_language string, size long, accepted boolean"
 
 
 def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
@@ -257,12 +258,13 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
                 ["id", "language", "probability", "text_language", "size", "accepted"])
 
     columns = ["id", "declared", "suffix", "size", "logs", "parts", "of_host", "of_domain", "of_suffix", "of_all"]
-    return joined.select(*columns).mapInArrow(run, RESULT)
+    return joined.select(*columns).mapInArrow(
+        run, f"id {evidence.schema['id'].dataType.simpleString()}, {RESULT}")
 
 
-def identify_documents(documents: DataFrame, models: TextModels) -> DataFrame:
-    """Documents (doc_id, text, lang, source): lang is the declared language, source the host."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("declared"),
+def identify_documents(documents: DataFrame, models: TextModels, key: Column | None = None) -> DataFrame:
+    """Documents (doc_id, text, lang, source): lang is the declared language, source the host; id is `key` or doc_id."""
+    rows = documents.select((F.col("doc_id").cast("long") if key is None else key).alias("id"), F.col("lang").cast("string").alias("declared"),
                             F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"), "text")
     return fuse(text_evidence(rows, models), models.languages)
 
@@ -280,12 +282,11 @@ def identify_pages(pages: DataFrame, models: TextModels) -> DataFrame:
 def accepted_documents(documents: DataFrame, models: TextModels) -> DataFrame:
     """The documents with a known language, with all their columns.
 
-    Rows with equal doc_id stay if one is accepted; rows without one cannot be named and stay.
+    A row is named by all that decides about it, so rows that share a doc_id or have none are told apart.
     """
-    found = identify_documents(documents, models).filter("accepted AND id IS NOT NULL").select(
-        F.col("id").alias("accepted_id")).distinct()
-    named = documents.join(found, documents["doc_id"].cast("long") == found["accepted_id"], "left_semi")
-    return named.unionByName(documents.filter(F.col("doc_id").isNull()))
+    key = content_key("doc_id", "text", "lang", "source")
+    found = identify_documents(documents, models, key).filter("accepted").select(F.col("id").alias("accepted_key")).distinct()
+    return documents.join(found, key == F.col("accepted_key"), "left_semi")
 
 
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,7 +24,9 @@ Cases: null and empty texts and texts without words have an empty set and are
 linked with nothing; documents with null doc_id are kept and linked with nothing
 (component null); rows with equal doc_id each stay, in one component if linked;
 repeated rows are copies; very long texts have long sets but the same sketch size;
-an empty table gives no rows; extra columns are ignored.
+an empty table gives no rows; extra columns are ignored. `kept` speaks of ids;
+`keep_one` decides by row: rows with equal or null doc_id are told apart by their text,
+and all rows with words take part, also those without doc_id.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from crossmer.llm.common import arrow_map, long_lists, table
+from crossmer.llm.common import arrow_map, content_key, long_lists, table
 from crossmer.llm.components import components
 from crossmer.llm.words import shingle_sets
 from crossmer.operators.storage import materialize
@@ -43,10 +45,11 @@ from crossmer.operators.storage import materialize
 K = 64
 PERCENT = 75                   # links: 100 * shared >= PERCENT * union
 DEVIATIONS = 6.0
+SPACES = " \t\n\x0b\x0c\r"    # between words, as in `words`
 TILE_PAIRS = 200_000           # pairs of a leader's lists that are compared together, about
 TILE_ROWS = 2_000              # of at most so many members on one side, about
 
-SKETCHES = "doc_id long, sig binary, n long, sketch array<long>"
+SKETCHES = "sig binary, n long, sketch array<long>"
 SETS = "sig binary, shingles array<long>"
 
 
@@ -81,8 +84,8 @@ def sketches(documents: DataFrame, id_column: str = "doc_id", text_column: str =
             kept.append(own[:K])
         return {"doc_id": batch.column(0), "sig": sigs, "n": sizes, "sketch": long_lists(kept)}
 
-    columns = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return arrow_map(columns, run, SKETCHES)
+    columns = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    return arrow_map(columns, run, f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, {SKETCHES}")
 
 
 def full_sets(documents: DataFrame, asked: DataFrame) -> DataFrame:
@@ -98,7 +101,7 @@ def full_sets(documents: DataFrame, asked: DataFrame) -> DataFrame:
                 sets.append(own)
         return {"sig": sigs, "shingles": long_lists(sets)}
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id")
+    texts = documents.select("doc_id", "text").join(asked, "doc_id")
     return arrow_map(texts.select("sig", "text"), run, SETS).dropDuplicates(["sig"])
 
 
@@ -163,7 +166,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents (doc_id, text)."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(sketches(documents))
-    usable = rows.filter("doc_id IS NOT NULL AND n > 0")
+    return _classes(rows, *_connected(documents, rows.filter("doc_id IS NOT NULL AND n > 0")))
+
+
+def _connected(documents: DataFrame, usable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The least doc_id of every sig of the usable sketches, and the components (node, component) of linked sigs."""
     names = usable.groupBy("sig").agg(F.min("doc_id").alias("least_id"))
     nodes = usable.select("sig", "n", "sketch").dropDuplicates(["sig"])
     listed = materialize(_listed(nodes))
@@ -191,8 +198,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     taken = components(links)
 
     second = materialize(_left_over(met, own, sets, taken))
-    whole = materialize(components(links.unionByName(second)))
-    return _classes(rows, names, whole)
+    return names, materialize(components(links.unionByName(second)))
 
 
 def _left_over(met: DataFrame, own: DataFrame, sets: DataFrame, taken: DataFrame) -> DataFrame:
@@ -253,11 +259,28 @@ def _classes(rows: DataFrame, names: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of documents that stay: one doc_id per component, all their columns."""
-    kept = near_duplicates(documents).filter("kept AND doc_id IS NOT NULL").select(
-        F.col("doc_id").alias("kept_id")).distinct()
-    named = documents.join(kept, documents["doc_id"].cast("long") == kept["kept_id"], "left_semi")
-    return named.unionByName(documents.filter(F.col("doc_id").isNull()))
+    """The rows of documents that stay, with all their columns: one row per component, that of the smallest doc_id.
+
+    A row with words gets a written key (of id and text); rows that share it are repeated
+    rows, of which one is left before the search. A row without doc_id is kept only if its
+    component has no other. Rows without words are linked with nothing and stay.
+    """
+    words = F.coalesce(F.length(F.translate("text", SPACES, "")) > 0, F.lit(False))
+    unique = materialize(
+        documents.filter(words).withColumn("_row_key", content_key("doc_id", "text")).dropDuplicates(["_row_key"]))
+    texts = unique.select(F.col("_row_key").alias("doc_id"), "text")
+    rows = materialize(sketches(texts)).filter("n > 0")
+    _, whole = _connected(texts, rows)
+    number = F.col("doc_id").cast("long")
+    order = unique.select("_row_key", F.struct(number.isNull(), number, "_row_key").alias("place"))
+    firsts = (
+        rows.select(F.col("doc_id").alias("_row_key"), "sig").join(order, "_row_key")
+        .groupBy("sig").agg(F.min("place").alias("place"))
+        .join(whole.select(F.col("node").alias("sig"), "component"), "sig", "left")
+        .groupBy(F.coalesce("component", "sig")).agg(F.min("place").alias("place"))
+        .select("place._row_key")
+    )
+    return unique.join(firsts, "_row_key", "left_semi").select(*documents.columns).unionByName(documents.filter(~words))
 
 
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -86,3 +86,12 @@ def test_documents_with_passages_go(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["None", "None", "1", "1", "2", "3", "5", "5", "6", "7", "8"])
     assert dc.contaminated(documents, items.limit(0)).count() == 0
     assert dc.contaminated(frame(spark, []), items).count() == 0
+
+
+@pytest.mark.parametrize("block_chars", [16 << 20, 100])
+def test_rows_are_decided_by_their_own_text(spark, block_chars):
+    wanted = [prose(n, 20) for n in range(4)]
+    rows = [(1, "before " + wanted[0] + " after"), (1, prose(50, 30)), (None, wanted[1]), (None, prose(51, 30)), (2, wanted[3])]
+    items = spark.createDataFrame(list(enumerate(wanted)), "item_id long, text string")
+    kept = dc.without_passages(frame(spark, rows), items, block_chars).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([rows[1], rows[3]], key=str)

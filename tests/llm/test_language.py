@@ -111,3 +111,10 @@ def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, "pages", spark.createDataFrame([], "page_id long, url string, html string"))
     assert language_id.op8_language_id(spark, str(tmp_path)).count() == 0
     assert language_id.op8_language_id_pages(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_are_accepted_by_their_own_text(spark, models):
+    rows = [(1, sentence("en", 5, 50)), (1, "漢字かな交じり文 " * 40), (None, sentence("de", 6, 50)), (None, "漢字かな " * 40), (2, None)]
+    documents = spark.createDataFrame([(i, t, None, None, 0, "", "", "", "") for i, t in rows], DOCUMENTS)
+    kept = language_id.accepted_documents(documents, models).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([rows[0], rows[2]], key=str)

@@ -84,3 +84,17 @@ def test_components_of_chains_and_stars(spark):
     chain, star = names[0:61], names[100:160]
     assert got == {n: min(chain) for n in chain} | {n: min(star) for n in star}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_are_told_apart_within_an_id(spark):
+    first, second, third = prose(20, 80), prose(21, 80), prose(22, 80)
+    rows = [
+        (1, first), (1, first), (1, second), (2, near(first, 3, 1)), (3, third), (4, second), (None, third),
+        (None, prose(23, 80)), (None, prose(23, 80)), (None, near(prose(23, 80), 4, 1)), (9, None), (9, None), (None, " "),
+    ]
+    kept = near_dedup.keep_one(frame(spark, rows)).select("doc_id", "text").collect()
+    with_words = sorted(((r["doc_id"], r["text"]) for r in kept if (r["text"] or "").strip()), key=str)
+    assert [(i, t) for i, t in with_words if i is not None] == sorted([(1, first), (1, second), (3, third)], key=str)
+    assert sum(i is None for i, _ in with_words) == 1 and len(kept) == 4 + 3
+    twice = frame(spark, [(n, prose(n, 60)) for n in range(20)] * 2)
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(twice).collect()) == list(range(20))
