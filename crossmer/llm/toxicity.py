@@ -9,10 +9,12 @@ transducers are composed into one machine that reads the classes of a clause:
 * target: after a target word, or before one in the same clause, a match counts
   as targeted;
 * negation: a match within NEGATION_REACH words after a negation is negated;
-* reported speech: a match after a reporting word or inside quotes is reported;
+* reported speech: a match after a reporting word or inside quotes is reported; quotes
+  end with the line, so a mark without partner says nothing about other lines;
 * match: emits the weight of insults and threats under the state reached.
 
-A clause scores the sum of its matches, each multiplied by the factor of its state.
+A clause scores the sum of its matches, each multiplied by the factor of its state; a
+word repeated in one state counts once, different words count each.
 A document's features are saturating sums over clauses; a logistic regression on
 the labelled sample turns them into a probability. Isolated words of the lexicon do
 little when negated or reported.
@@ -65,9 +67,10 @@ NEGATION = frozenset("not no never nobody isn aren wasn don doesn didn nicht kei
 REPORTING = frozenset("said says say claimed called reported wrote quoted sagte behauptete nannte schrieb "
                       "dit écrit affirmé dijo escribió afirmó llamó".split())
 QUOTES = frozenset('"“”«»„')
-STOPS = frozenset(".!?;\n")
+STOPS = frozenset(".!?;")
+LINE_END = "\n"
 
-OTHER, MATCH, TARGETING, NEGATING, REPORT, QUOTE, STOP = range(7)
+OTHER, MATCH, TARGETING, NEGATING, REPORT, QUOTE, STOP, LINE = range(8)
 PLAIN, TARGETED, NEGATED, REPORTED = range(4)
 FACTORS = (1.0, 1.3, 0.3, 0.4)       # of a match in each state
 FEATURES, SOFTENED = 4, 3
@@ -79,11 +82,11 @@ def _compose() -> tuple[np.ndarray, np.ndarray]:
     A state is (words a negation still reaches, reported, quoted, targeted).
     """
     reach, shape = NEGATION_REACH + 1, (NEGATION_REACH + 1, 2, 2, 2)
-    following = np.zeros((reach * 8, 7), dtype=np.int64)
-    kinds = np.zeros((reach * 8, 7), dtype=np.int64)
+    following = np.zeros((reach * 8, 8), dtype=np.int64)
+    kinds = np.zeros((reach * 8, 8), dtype=np.int64)
     for state in range(reach * 8):
         negation, reported, quoted, targeted = np.unravel_index(state, shape)
-        for symbol in range(7):
+        for symbol in range(8):
             n, r, q, t = max(0, negation - 1), reported, quoted, targeted
             if symbol == NEGATING:
                 n = NEGATION_REACH
@@ -95,6 +98,8 @@ def _compose() -> tuple[np.ndarray, np.ndarray]:
                 t = 1
             elif symbol == STOP:
                 n, r, t = 0, 0, 0
+            elif symbol == LINE:
+                n, r, q, t = 0, 0, 0, 0
             following[state, symbol] = np.ravel_multi_index((n, r, q, t), shape)
             kinds[state, symbol] = NEGATED if negation else REPORTED if reported or quoted else TARGETED if targeted else PLAIN
     return following, kinds
@@ -108,11 +113,13 @@ class Grammar:
 
     def __init__(self, words: dict[str, float], beginnings: dict[str, float], coefficients: list[float]):
         self.words, self.beginnings, self.coefficients = words, beginnings, np.array(coefficients)
-        self._known: dict[str, tuple[int, float]] = {}
+        self._known: dict[str, tuple[int, float, str]] = {}
 
     def _arc(self, token: str) -> tuple[int, float]:
         if token in STOPS:
             return STOP, 0.0
+        if token == LINE_END:
+            return LINE, 0.0
         if token in QUOTES:
             return QUOTE, 0.0
         weight = max([self.words.get(token, 0.0),
@@ -125,7 +132,7 @@ class Grammar:
             return REPORT, 0.0
         return (TARGETING, 0.0) if token in TARGET else (OTHER, 0.0)
 
-    def arcs(self, text: str) -> list[tuple[int, float]]:
+    def arcs(self, text: str) -> list[tuple[int, float, str]]:
         known = self._known
         tokens = TOKEN.findall(text.lower())
         fresh = {t for t in set(tokens) if t not in known}
@@ -134,28 +141,26 @@ class Grammar:
                 known.clear()
                 fresh = set(tokens)
             for token in fresh:
-                known[token] = self._arc(token)
+                known[token] = (*self._arc(token), token)
         return [known[t] for t in tokens]
 
     def clauses(self, text: str) -> list[list[tuple[int, float]]]:
-        """(kind, weight) of the different matches of every clause that has any."""
+        """(kind, weight) of the matches of every clause that has any, one for each word and kind."""
         arcs = self.arcs(text)
-        if not any(symbol == MATCH for symbol, _ in arcs):
+        if not any(symbol == MATCH for symbol, _, _ in arcs):
             return []
-        out, state, matches, targets = [], 0, [], False
-        for symbol, weight in [*arcs, (STOP, 0.0)]:
+        out, state, matches, targets = [], 0, {}, False
+        for symbol, weight, token in [*arcs, (STOP, 0.0, "")]:
             if symbol == OTHER and state < 8 and not matches:      # nothing open that a word could change
                 continue
             if symbol == MATCH:
-                found = (_KIND[state][symbol], weight)
-                if found not in matches:       # a word repeated over and over says no more
-                    matches.append(found)
+                matches[_KIND[state][symbol], token] = weight      # a word repeated over and over says no more
             elif symbol == TARGETING:
                 targets = True
-            elif symbol == STOP:
+            elif symbol in (STOP, LINE):
                 if matches:
-                    out.append([(TARGETED if k == PLAIN and targets else k, w) for k, w in matches])
-                matches, targets = [], False
+                    out.append([(TARGETED if k == PLAIN and targets else k, w) for (k, _), w in matches.items()])
+                matches, targets = {}, False
             state = _NEXT[state][symbol]
         return out
 

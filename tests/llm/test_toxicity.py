@@ -106,3 +106,15 @@ def test_odd_documents_and_no_labels(spark, tmp_path, labelled):
     write(spark, tmp_path, "documents", frame(spark, []))
     write(spark, tmp_path, "labels", labelled[1])
     assert tx.op10_toxicity(spark, str(tmp_path)).count() == 0
+
+
+def test_different_words_of_equal_weight_count_each():
+    grammar = tx.Grammar({w: 2.0 for w in ("stab", "shoot", "burn")}, {"wor": 2.0}, [-4.0, 2.0, 2.0, 0.0, -1.0])
+    assert grammar.clauses("I will stab, shoot and burn you") == [[(tx.TARGETED, 2.0)] * 3]
+    assert grammar.clauses("worthless worm, stab") == [[(tx.PLAIN, 2.0)] * 3]
+    assert grammar.clauses("stab stab shoot stab") == [[(tx.PLAIN, 2.0)] * 2]
+
+
+def test_a_quotation_ends_with_its_line():
+    assert kinds('5" of scum\nscum. scum') == [[tx.REPORTED], [tx.PLAIN], [tx.PLAIN]]
+    assert kinds('"fine. scum" scum') == [[tx.REPORTED, tx.PLAIN]]
