@@ -17,9 +17,11 @@ Log-probabilities of four kinds of evidence add up for each language (and for
 Host counts are grouped aggregates of the text evidence over all rows, hosts first,
 then domains and suffixes from the hosts' sums; a row's own part is taken out.
 
-The models are counted from at most SAMPLE_ROWS labelled documents (smallest hash
-of the id; a documented bound, so the sample can be broadcast); counts and priors
-cover every row.
+The languages are those of all labelled documents with MIN_DOCUMENTS rows or more. The
+model of each is counted from about SAMPLE_ROWS of its different documents (smallest
+hashes of id and text; all of them where there are fewer), so the bound holds for each
+language, however large the table and whatever share of it the language has. Counts
+and priors cover every row.
 
 Cases: null and empty texts and texts without letters have no text evidence and are
 rejected; unknown or null declared languages, hosts and urls say nothing; repeated
@@ -42,7 +44,7 @@ from crossmer.llm.url_rules import host_of
 from crossmer.llm.words import batches as byte_batches
 from crossmer.operators.storage import materialize
 
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 6_000          # of each language
 BUCKETS = 1 << 16
 MIN_DOCUMENTS = 5            # labelled documents of a language, at least
 FULL_WEIGHT = 200
@@ -111,40 +113,49 @@ class TextModels:
 
 
 def fit_text_models(documents: DataFrame, limit: int = SAMPLE_ROWS) -> TextModels:
-    """Triplet counts of at most `limit` documents (doc_id, text, lang)."""
-    labelled = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(
-        "doc_id IS NOT NULL AND lang IS NOT NULL")
-    chosen = labelled.select(F.col("doc_id").alias("chosen_id")).distinct().orderBy(
-        F.xxhash64("chosen_id"), "chosen_id").limit(limit)
-    sample = labelled.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("text", "lang")
+    """Triplet counts of about `limit` documents (doc_id, text, lang) of every language."""
+    spark = documents.sparkSession
+    labelled = documents.filter("lang IS NOT NULL").select(
+        "text", "lang", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("place"))
+    known = {
+        r["lang"]: (r["rows"], r["different"]) for r in
+        labelled.groupBy("lang", "place").agg(F.count("*").alias("n"))
+        .groupBy("lang").agg(F.sum("n").alias("rows"), F.count("*").alias("different"))
+        .filter(F.col("rows") >= MIN_DOCUMENTS).collect()      # one row per language with a model
+    }
+    if not known:
+        return TextModels([], np.zeros((0, BUCKETS)))
+    # places are spread evenly, so a share of their range holds that share of the documents
+    below = [(language, -(1 << 63) + min((1 << 64) - 1, (limit << 64) // different))
+             for language, (_, different) in known.items()]
+    sample = (
+        labelled.join(F.broadcast(spark.createDataFrame(below, "lang string, below long")), "lang")
+        .filter("place <= below").dropDuplicates(["lang", "place"]).select("text", "lang")
+    )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
         for batch in pieces(batches, "text", 2 << 20):
             texts, languages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for language in set(languages):
                 own = [t for t, l in zip(texts, languages, strict=True) if l == language]
-                rows[language] = rows.get(language, 0) + len(own)
                 total = counts.setdefault(language, np.zeros(BUCKETS, dtype=np.int64))
                 for _, raw in byte_batches(own):
                     total += np.bincount(triplets(raw)[0], minlength=BUCKETS)
         for language, total in counts.items():
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([language] * (len(used) + 1)), pa.array(np.append(used, -1)),
-                 pa.array(np.append(total[used], rows[language]))], ["lang", "bucket", "n"])
+                [pa.array([language] * len(used)), pa.array(used), pa.array(total[used])], ["lang", "bucket", "n"])
 
     found = (
         sample.mapInArrow(run, "lang string, bucket long, n long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-        .toPandas()          # at most BUCKETS rows per language of the sample
+        .toPandas()          # at most BUCKETS rows per language
     )
-    documents_of = found[found.bucket == -1].set_index("lang")["n"].to_dict()
-    languages = sorted(l for l, n in documents_of.items() if n >= MIN_DOCUMENTS)
+    languages = sorted(known)
     counts = np.zeros((len(languages), BUCKETS))
     for k, language in enumerate(languages):
-        own = found[(found.lang == language) & (found.bucket >= 0)]
+        own = found[found.lang == language]
         counts[k, own.bucket.to_numpy()] = own.n.to_numpy()
     return TextModels(languages, counts)
 

@@ -118,3 +118,19 @@ def test_rows_are_accepted_by_their_own_text(spark, models):
     documents = spark.createDataFrame([(i, t, None, None, 0, "", "", "", "") for i, t in rows], DOCUMENTS)
     kept = language_id.accepted_documents(documents, models).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([rows[0], rows[2]], key=str)
+
+
+def test_a_rare_language_is_modelled_at_any_size(spark):
+    """Five German rows (as many as MIN_DOCUMENTS) among 6,000 English ones, with a sample of 200."""
+    rows = [(k, sentence("en", k, 12), "en", "h", 0, "", "", "", "") for k in range(6000)]
+    rows += [(10_000 + k, sentence("de", k, 40), "de", "h", 0, "", "", "", "") for k in range(4)]
+    rows += [(None, sentence("de", 9, 40), "de", "h", 0, "", "", "", ""), (20_000, sentence("fr", 1, 40), "fr", "h", 0, "", "", "", "")]
+    documents = spark.createDataFrame(rows, DOCUMENTS)
+    models = language_id.fit_text_models(documents, 200)
+    assert models.languages == ["de", "en"]
+    raw = [r["text"].encode() for r in documents.filter("lang = 'de'").collect()]
+    counts = np.bincount(language_id.triplets(raw)[0], minlength=language_id.BUCKETS)
+    expected = language_id.TextModels(["de"], counts[None, :].astype(float))
+    assert np.allclose(expected.logs[:, 0], models.logs[:, 0])
+    found = language_id.identify_documents(documents.filter("lang = 'de'"), models).collect()
+    assert [r["language"] for r in found] == ["de"] * 5
