@@ -8,9 +8,11 @@ conversation count in the order of seq, and the last role named for a message co
 * `edit` replaces the text;
 * `regenerate` empties the text and drops all later messages of the conversation.
 
-The fold needs no state beyond windows over the sorted log: an event is void if a
-later regeneration names an earlier message, or if its own message was set anew
-later. What is left is joined per message.
+The fold needs no state beyond running windows over the sorted log: an event is void if
+a later regeneration names an earlier message, or if its own message was set anew
+later. What is left is joined per message. The log is cut into ranges of (conv_id, seq):
+a range is looked through backwards, and only the smallest message that is regenerated in
+each of the ranges after it is carried over, one row per range.
 
 The template marks an assistant turn as `<s>role LF text</s> LF` and any other as
 `[INST]role LF text[/INST] LF`. Inside roles and texts a backslash is doubled and one
@@ -18,8 +20,11 @@ is put after the first character of every control string, so a control string in
 the output is always a mark and the texts can be read back exactly. The loss mask
 is a list of character spans, one per assistant text.
 
-A conversation is one row; one longer than BLOCK_CHARS goes on in further rows
-(block 1, 2, ...), so that no task or row has to hold an unbounded conversation.
+Messages are rendered in ranges of (conv_id, message). A conversation is one row, unless
+it is longer than BLOCK_CHARS or crosses ranges; then it goes on in further rows with
+larger block numbers (range and number in it). So a conversation with a third of all rows
+is folded and rendered by many tasks, and no row holds it whole. Only a digest of a
+conversation goes through its blocks in order, in constant memory.
 
 Cases: null texts and roles are empty; a null conv_id is one conversation of its
 own; equal seqs are ordered by message, kind, text; unknown kinds and events that
@@ -33,7 +38,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from crossmer.llm.common import pieces, table
 from crossmer.operators.storage import materialize
@@ -80,20 +85,41 @@ def turns(formatted: str) -> Iterator[tuple[str, str]]:
         yield unescape_role(found[2]), unescape(found[3])
 
 
+def _ranges(frame: DataFrame, *order: Column) -> DataFrame:
+    """The rows in ranges of (conv_id, *order), numbered in `_range`; repeated rows are dealt out too."""
+    return materialize(
+        frame.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange("conv_id", *order, "_tie").withColumn("_range", F.spark_partition_id()))
+
+
+def _same(*names: str) -> Column:
+    """Join on names where null equals null."""
+    out = F.lit(True)
+    for name in names:
+        out = out & F.col(f"x.{name}").eqNullSafe(F.col(f"y.{name}"))
+    return out
+
+
 def fold(events: DataFrame) -> DataFrame:
     """conv_id, message, role, text of the final messages."""
-    order = [F.col("seq"), F.col("message"), F.col("kind"), F.col("text")]
-    later = W.partitionBy("conv_id").orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    own = W.partitionBy("conv_id", "message").orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    cut = F.min(F.when(F.col("kind") == "regenerate", F.col("message"))).over(later)
-    resets = F.max(F.col("kind").isin("message", "edit", "regenerate").cast("int"))
-    role_of = W.partitionBy("conv_id", "message").orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return (
+    names = ("seq", "message", "kind", "text")
+    before = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    latest = [F.desc(n) for n in names]
+    named = F.when(F.col("kind") == "regenerate", F.col("message"))
+    log = _ranges(
         events.select("conv_id", F.col("seq").cast("long").alias("seq"), "kind",
                       F.col("message").cast("long").alias("message"), "role",
                       F.coalesce("text", F.lit("")).alias("text"))
-        .filter(F.col("kind").isin("message", "delta", "edit", "regenerate"))
-        .withColumn("cut", cut)
+        .filter(F.col("kind").isin("message", "delta", "edit", "regenerate")), *map(F.col, names))
+    carried = log.groupBy("conv_id", "_range").agg(F.min(named).alias("least")).select(
+        "conv_id", "_range", F.min("least").over(before("conv_id").orderBy(F.desc("_range"))).alias("later"))
+    resets = F.max(F.col("kind").isin("message", "edit", "regenerate").cast("int"))
+    own = before("conv_id", "message").orderBy(*latest, F.desc("_tie"))
+    role_of = W.partitionBy("conv_id", "message").orderBy(*names, "_tie").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return (
+        log.withColumn("inside", F.min(named).over(before("conv_id", "_range").orderBy(*latest, F.desc("_tie")))).alias("x")
+        .join(carried.alias("y"), _same("conv_id", "_range"))
+        .select("x.*", F.least("inside", "later").alias("cut"))
         .filter(F.col("cut").isNull() | F.col("message").isNull() | (F.col("message") <= F.col("cut")))
         .withColumn("void", F.coalesce(resets.over(own), F.lit(0)))
         .withColumn("last_role", F.last("role", ignorenulls=True).over(role_of))
@@ -106,13 +132,16 @@ def fold(events: DataFrame) -> DataFrame:
     )
 
 
-def format_messages(messages: DataFrame, partitions: int | None = None) -> DataFrame:
+def format_messages(messages: DataFrame) -> DataFrame:
     """conv_id, block, n_turns, formatted, loss: rendered conversations from conv_id, message, role, text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32      # ranges are in order, so blocks are
         rows: list[tuple] = []
         held = 0
-        state: dict = {"key": object(), "block": 0, "parts": [], "spans": [], "at": 0, "n": 0}
+        state: dict = {"key": object(), "block": first, "parts": [], "spans": [], "at": 0, "n": 0}
 
         def close():
             nonlocal held
@@ -134,7 +163,7 @@ def format_messages(messages: DataFrame, partitions: int | None = None) -> DataF
             for key, _, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != state["key"]:
                     close()
-                    state.update(key=key, block=0)
+                    state.update(key=key, block=first)
                 elif state["at"] > BLOCK_CHARS:
                     close()
                     state["block"] += 1
@@ -152,8 +181,10 @@ def format_messages(messages: DataFrame, partitions: int | None = None) -> DataF
 
     columns = messages.select(F.col("conv_id").cast("long").alias("conv_id"),
                               F.col("message").cast("long").alias("message"), "role", "text")
+    order = ("conv_id", "message", "role", "text")
     return (
-        columns.repartition("conv_id").sortWithinPartitions("conv_id", "message", "role", "text")
+        materialize(columns.withColumn("_tie", F.monotonically_increasing_id()))      # sampled for the ranges, then dealt out
+        .repartitionByRange(*order, "_tie").sortWithinPartitions(*order).drop("_tie")
         .mapInArrow(run, BLOCKS)
     )
 
@@ -211,11 +242,15 @@ def digests(blocks: DataFrame) -> DataFrame:
 
 def as_events(conversations: DataFrame) -> DataFrame:
     """A log from finished turns: one `message` event per row, numbered in the order of turns."""
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    cut = _ranges(conversations.select("conv_id", "turn", "role", "text"), *map(F.col, ("turn", "role", "text")))
+    before = W.partitionBy("conv_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    bases = cut.groupBy("conv_id", "_range").agg(F.count("*").alias("n")).select(
+        "conv_id", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = W.partitionBy("conv_id", "_range").orderBy("turn", "role", "text", "_tie")
     return (
-        conversations.select("conv_id", "turn", "role", "text")
-        .withColumn("seq", F.row_number().over(order).cast("long"))
-        .select("conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("message"), "role", "text")
+        cut.withColumn("own", F.row_number().over(inside)).alias("x").join(bases.alias("y"), _same("conv_id", "_range"))
+        .withColumn("seq", (F.col("own") + F.col("base")).cast("long"))
+        .select("x.conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("message"), "role", "text")
     )
 
 

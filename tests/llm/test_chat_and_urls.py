@@ -38,12 +38,12 @@ def brute_fold(rows):
     return sorted((c, m, r, t) for c, own in state.items() for m, (r, t) in own.items())
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_fold_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,conversations", [(0, 4), (1, 4), (2, 1)])
+def test_fold_against_brute_force(spark, seed, conversations):
     import random
 
     rng = random.Random(seed)
-    rows = [(rng.randrange(4), n, rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.randrange(5),
+    rows = [(rng.randrange(conversations), n, rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.randrange(5),
              "user", rng.choice(["a", "b", None])) for n in range(120)]
     assert final(spark, rows) == brute_fold(rows)
 
@@ -78,6 +78,18 @@ def test_formatting_can_be_read_back(spark, monkeypatch, block_chars):
     assert set(found) == set(expected)
 
 
+def test_a_hot_conversation_is_many_ranges(spark):
+    """Folded and rendered by several tasks, read back in order."""
+    rows = [(5, t, "assistant" if t % 3 else "user", f"turn {t}") for t in range(4000)] + [(6, 0, "user", "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    blocks = chat.format_messages(chat.fold(chat.as_events(frame)))
+    held = [(r["block"], r["n_turns"]) for r in blocks.collect() if r["conv_id"] == 5]
+    assert len({block >> 32 for block, _ in held}) > 1 and sum(n for _, n in held) == 4000
+    found = {r["conv_id"]: r for r in chat.digests(blocks).collect()}
+    r = found[5]
+    assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == digest_of([x[2:] for x in rows[:-1]])
+
+
 def test_no_conversations(spark, tmp_path):
     write(spark, tmp_path, "conversations", spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     rows = chat.op4_chat_format(spark, str(tmp_path)).collect()
