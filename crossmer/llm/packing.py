@@ -9,16 +9,19 @@ which has at most `capacity` rows whatever the corpus:
    multiplicative weights. A weight falls exponentially with the share of its
    length that is covered already; an unbounded knapsack over the capacity prices
    the configurations, best completion for every length at once.
-2. The fractional solution is rounded down. What is left is counted in units of u
-   pieces of a length, so that some REST_SEQUENCES sequences of units are filled
-   with exact subset sums, largest length first; each full one stands for u
-   sequences. The unit shrinks with the rest until it is one piece.
-3. The configurations become runs: the pieces of length l with ranks r to r + k
+2. The fractional solution is rounded down and, on what is then left, solved again and
+   rounded up as far as pieces last, largest share first, until at most one sequence in
+   REST_SHARE (and at most REST_SEQUENCES) is left. So the program places most sequences
+   of a small corpus as well as of a large one.
+3. The rest is counted in units of u pieces of a length, so that some REST_SEQUENCES
+   sequences of units are filled with exact subset sums, largest length first; each
+   full one stands for u sequences. The unit shrinks with the rest until it is one piece.
+4. The configurations become runs: the pieces of length l with ranks r to r + k
    go to the sequences s to s + k at one offset. A piece finds its place from its
    length and its rank among the pieces of that length.
 
-Ranks are counted within salted slices of a length, so a length shared by a third
-of all pieces is numbered by many tasks. The runs are broadcast: their number is
+Ranks are counted within slices of a length, the pieces that one task has written, so a
+length shared by a third of all pieces (or by copies of one document) is numbered by many tasks. The runs are broadcast: their number is
 bounded by the capacity, ROUNDS, BATCH and REST_SEQUENCES for each of the few
 units (their number grows with the logarithm of the corpus); `runs_of` checks it.
 
@@ -41,15 +44,17 @@ from crossmer.llm.tokens import END_ID, default_tokenizer, encoder
 from crossmer.operators.storage import materialize
 
 CAPACITY = 4096
-ROUNDS = 60               # multiplicative-weights rounds
-BATCH = 256               # configurations taken from each round
+ROUNDS = 8                # multiplicative-weights rounds
+ROUNDS_AGAIN = 2          # of each further solution, on what the rounding has left
+SLOW = 0.97               # a solution that leaves more than this share is the last one
+BATCH = 2048              # configurations taken from each round, at most
 STEP = 0.5                # share of the tightest length's open need that a configuration takes
 COVERED = 0.95            # a length covered so far is left to the rounding
 SAND = 8                  # short pieces kept for each of the last sequences
 LONG_FIRST = 1.1          # above 1: of equal fills the one with longer pieces, short ones fill gaps later
 STEEPNESS = 3.0           # how fast a weight falls with coverage
-REST_SEQUENCES = 3000     # sequences filled one by one for each unit of the rest
-SLICE_ROWS = 200_000      # pieces numbered by one task
+REST_SEQUENCES = 3000     # sequences filled one by one for each unit of the rest, at most
+REST_SHARE = 12           # one sequence of so many is left to the rest, at most
 MAX_RUNS = 2_000_000      # 64 MB as broadcast; far above what the bounds above allow
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -102,13 +107,14 @@ def completion(first: np.ndarray, kinds: np.ndarray, room: int) -> list[int]:
     return taken
 
 
-def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, batch: int = BATCH) -> dict[tuple, float]:
+def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, batch: int = BATCH,
+                   seed: int = 0) -> dict[tuple, float]:
     """Fractional solution: configuration (indices of lengths, with repetition) -> number of sequences."""
     kinds = np.flatnonzero(counts)
     need = counts[kinds].astype(float)
     covered = np.zeros(len(kinds))
     solution: dict[tuple, float] = {}
-    noise = np.random.default_rng(0)      # another order among nearly equal completions in every round
+    noise = np.random.default_rng(seed)      # another order among nearly equal completions in every round
     for _ in range(rounds):
         share = covered / need
         prices = (kinds / capacity) ** LONG_FIRST * np.exp(-STEEPNESS * (share - share.min())) * noise.uniform(0.99, 1.01, len(kinds))
@@ -158,6 +164,46 @@ def _take(left: dict[int, int], length: int) -> None:
         del left[length]
 
 
+def _rest(left: np.ndarray, capacity: int) -> int:
+    """Sequences that are left to exact subset sums."""
+    needed = -(-int((left * np.arange(len(left))).sum()) // capacity)
+    return max(1, min(REST_SEQUENCES, needed // REST_SHARE))
+
+
+def place_by_program(left: np.ndarray, capacity: int, rest: int) -> list[tuple[tuple[int, ...], int]]:
+    """Full configurations of the linear program, taken out of `left` until some `rest` sequences are left."""
+    plan: list[tuple[tuple[int, ...], int]] = []
+    lengths = np.arange(len(left))
+    up = False                # first rounded down, then up to one sequence
+    while (tokens := int((left * lengths).sum())) > rest * capacity:
+        found = configurations(left, capacity, ROUNDS_AGAIN if up else ROUNDS, seed=len(plan))
+        solution = sorted(found.items(), key=lambda c: (-c[1], c[0]))
+        if not up:
+            up = True
+            plan += _take_configurations(left, solution, 0, 0)
+            if (left * lengths).sum() < tokens:
+                continue
+        plan += _take_configurations(left, solution, 1, rest * capacity)
+        if (left * lengths).sum() > SLOW * tokens:
+            break
+    return plan
+
+
+def _take_configurations(left: np.ndarray, solution: list, least: int, enough: int) -> list[tuple[tuple[int, ...], int]]:
+    """Full configurations of a solution, each at least `least` times while pieces last, until `enough` tokens are left."""
+    taken, tokens = [], int((left * np.arange(len(left))).sum())
+    for config, x in solution:
+        which, times = np.unique(config, return_counts=True)
+        n = min(max(int(x), least), int((left[which] // times).min()))
+        if n > 0 and sum(config) == len(left) - 1:
+            left[which] -= n * times
+            tokens -= n * (len(left) - 1)
+            taken.append((config, n))
+            if tokens <= enough:
+                break
+    return taken
+
+
 def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(configuration, number of sequences) that hold exactly counts[l] pieces of every length l."""
     left = counts.astype(np.int64).copy()
@@ -166,16 +212,11 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
     if left[capacity]:
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
+    rest = _rest(left, capacity)
     short = np.where(lengths <= capacity // 16, left, 0)
-    sand = np.diff(np.minimum(np.cumsum(short), SAND * REST_SEQUENCES), prepend=0)
+    sand = np.diff(np.minimum(np.cumsum(short), SAND * rest), prepend=0)
     left -= sand                  # fills the gaps of the last sequences
-    if (left * lengths).sum() > REST_SEQUENCES * capacity:
-        for config, x in sorted(configurations(left, capacity).items(), key=lambda c: (-c[1], c[0])):
-            which, times = np.unique(config, return_counts=True)
-            n = min(int(x), int((left[which] // times).min()))
-            if n > 0 and sum(config) == capacity:
-                left[which] -= n * times
-                plan.append((config, n))
+    plan += place_by_program(left, capacity, rest)
     unit = -(-int((left * lengths).sum()) // (REST_SEQUENCES * capacity))
     while unit > 1:
         before = len(plan)
@@ -208,28 +249,26 @@ def runs_of(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 
 # --- placing the pieces ----------------------------------------------------------------
 
-def ranked(cut: DataFrame, counts: DataFrame) -> DataFrame:
-    """The pieces with `rank`, their number from 0 among the pieces of the same length."""
-    slices = counts.select("length", F.ceil(F.col("count") / SLICE_ROWS).cast("int").alias("slices"))
-    sliced = cut.join(F.broadcast(slices), "length").withColumn(     # a row per length, at most `capacity`
-        "slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("slices")).cast("int"))
+def ranked(cut: DataFrame) -> DataFrame:
+    """The pieces (with `slice`) with `rank`, their number from 0 among the pieces of the same length."""
     before = W.partitionBy("length").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     bases = (
-        sliced.groupBy("length", "slice").count()
+        cut.groupBy("length", "slice").count()
         .select("length", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     )
     order = W.partitionBy("length", "slice").orderBy("doc_id", "piece")
     return (
-        sliced.withColumn("own", F.row_number().over(order) - 1)
+        cut.withColumn("own", F.row_number().over(order) - 1)
         .join(bases, ["length", "slice"])
         .withColumn("rank", F.col("own") + F.col("base"))
-        .drop("own", "base", "slice", "slices")
+        .drop("own", "base")
     )
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces (at least doc_id, piece, length, ids_crc32) with sequence_id and offset."""
-    cut = materialize(cut)
+    names = cut.columns
+    cut = materialize(cut.withColumn("slice", F.spark_partition_id()))
     counts = cut.groupBy("length").count()
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for row in counts.collect():        # at most `capacity` rows
@@ -247,9 +286,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pd.DataFrame({"sequence_id": table_["sequence"][at] + rank.to_numpy() - table_["rank"][at],
                              "offset": table_["offset"][at]})
 
-    names = [c for c in cut.columns]
     return (
-        ranked(cut, counts).withColumn("place", place("length", "rank"))
+        ranked(cut).withColumn("place", place("length", "rank"))
         .select(*names, "place.sequence_id", "place.offset")
     )
 

@@ -138,9 +138,21 @@ def test_solution_is_close_to_the_bound(seed, n):
     assert sum(t for _, t in plan) <= bound + 1 + bound // 500
 
 
-def test_ranks_of_a_hot_length_are_split(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SLICE_ROWS", 50)
-    cut = spark.range(1000).selectExpr("id doc_id", "0 piece", "0L start", "7L length", "id % 3 ids_crc32")
-    counts = cut.groupBy("length").count()
-    ranks = sorted(r["rank"] for r in packing.ranked(cut, counts).collect())
-    assert ranks == list(range(1000))
+@pytest.mark.parametrize("n", [300, 1_000, 60_000])
+def test_the_program_places_sequences_at_every_size(n):
+    rng = np.random.default_rng(n)
+    counts = np.bincount(np.minimum(511, rng.lognormal(4.5, 1.0, n).astype(int) + 1), minlength=513)
+    left = counts.copy()
+    bound = -(-int((counts * np.arange(513)).sum()) // 512)
+    plan = packing.place_by_program(left, 512, packing._rest(left, 512))
+    assert sum(times for _, times in plan) >= 0.25 * bound
+    assert all(sum(config) == 512 for config, _ in plan)
+    assert sum(times for _, times in packing.solve(counts, 512)) <= 1.01 * bound + 1
+
+
+def test_ranks_of_a_hot_length_are_split(spark):
+    """Repeated rows of one document are numbered by as many tasks as have written them."""
+    cut = spark.range(0, 1000, 1, 8).selectExpr("7L doc_id", "0 piece", "0L start", "7L length", "1L ids_crc32", "spark_partition_id() slice")
+    got = packing.ranked(cut).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1000))
+    assert len({r["slice"] for r in got}) == 8
