@@ -5,8 +5,9 @@
    from here on, so exact copies cost one row each.
 2. Inverted lists of retained values. Two sets with a Jaccard index of at least
    0.75 share at least `need` of their retained values: exactly, while the sets
-   fit into the sketch; beyond that with six standard deviations (a chance below
-   1e-9 per pair to share fewer). So they share one of the first
+   fit into the sketch; beyond that the number is the largest that a pair at exactly
+   the threshold misses with a chance below MISSED, by the exact binomial tail (values
+   are drawn without replacement, which misses less often). So they share one of the first
    `size - need + 1` values when values are ordered from rare to frequent; only
    these are listed. A passage that a third of all documents contain comes last in
    that order and is hardly ever listed.
@@ -31,6 +32,7 @@ and all rows with words take part, also those without doc_id.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -44,7 +46,7 @@ from crossmer.operators.storage import materialize
 
 K = 64
 PERCENT = 75                   # links: 100 * shared >= PERCENT * union
-DEVIATIONS = 6.0
+MISSED = 1e-9                  # chance that a pair at the threshold is not listed or not estimated, per pair and test, at most
 SPACES = " \t\n\x0b\x0c\r"    # between words, as in `words`
 TILE_PAIRS = 200_000           # pairs of a leader's lists that are compared together, about
 TILE_ROWS = 2_000              # of at most so many members on one side, about
@@ -56,8 +58,18 @@ SETS = "sig binary, shingles array<long>"
 def _needed(size: int) -> int:
     """Retained values that two linked sets share at least."""
     share = PERCENT / 100
-    sure = max(1, math.floor(K * share - DEVIATIONS * math.sqrt(K * share * (1 - share))))
-    return max(1, math.ceil(size * share)) if size <= K * share else min(size, sure)
+    return max(1, math.ceil(size * share)) if size <= K * share else min(size, sure_of(K))
+
+
+@functools.cache
+def sure_of(drawn: int, missed: float = MISSED) -> int:
+    """The most of `drawn` values that a pair at the threshold shares but for a chance below `missed`."""
+    share, tail, least = PERCENT / 100, 0.0, 0
+    while True:
+        tail += math.comb(drawn, least) * share**least * (1 - share) ** (drawn - least)
+        if tail >= missed:
+            return max(1, least)
+        least += 1
 
 
 def _signature(shingles: np.ndarray) -> bytes:
@@ -129,13 +141,11 @@ def _similar_sizes(a: Column, b: Column) -> Column:
 
 
 def _estimate_passes(a: Column, b: Column) -> Column:
-    """Estimate of the Jaccard index from the union's K smallest values, six deviations wide."""
+    """Estimate of the Jaccard index from the union's K smallest values: exact below K, the bound of the lists else."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, K)
     size = F.size(union)
     shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    share = PERCENT / 100
-    slack = F.when(size < K, F.lit(0.0)).otherwise(DEVIATIONS * F.sqrt(size * share * (1 - share)))
-    return shared >= size * share - slack - 1e-9
+    return shared >= F.when(size < K, size * (PERCENT / 100) - 1e-9).otherwise(F.lit(float(sure_of(K))))
 
 
 def _sketches_meet(a: Column, b: Column) -> Column:

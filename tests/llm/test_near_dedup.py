@@ -98,3 +98,12 @@ def test_rows_are_told_apart_within_an_id(spark):
     assert sum(i is None for i, _ in with_words) == 1 and len(kept) == 4 + 3
     twice = frame(spark, [(n, prose(n, 60)) for n in range(20)] * 2)
     assert sorted(r["doc_id"] for r in near_dedup.keep_one(twice).collect()) == list(range(20))
+
+
+def test_chance_of_a_missed_link():
+    from math import comb
+
+    tail = lambda t: sum(comb(64, x) * 0.75**x * 0.25 ** (64 - x) for x in range(t))
+    sure = near_dedup.sure_of(64)
+    assert tail(sure) < 1e-9 <= tail(sure + 1)
+    assert near_dedup._needed(64) == sure and near_dedup._needed(8) == 6
