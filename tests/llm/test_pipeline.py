@@ -13,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_every_query_is_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert [n for n, _ in cp.STAGES] == ["language", "toxicity", "near_dedup", "decontamination", "packing"]
 
 
