@@ -266,6 +266,28 @@ details AS (SELECT *, list_sum(list_transform(range(1, len + 1),
 passing AS (SELECT * FROM details WHERE chain >= 2 OR mean >= 3)"""
 
 
+_WORD_NODES = f"{WORDS}, {_nodes('words')}"
+
+# benchmark items as queries against the document lines
+_SEARCHED = f"""{_WORD_NODES}, probes AS (SELECT item_id AS node, {_WORDS.format("replace(text, chr(10), ' ')")} AS s FROM benchmark),
+tsets AS (SELECT DISTINCT node, kmer FROM {_kmers('s', 6)}),
+qsets AS (SELECT DISTINCT node, kmer FROM {_kmers('s', 6, source='probes')}),
+jac AS (SELECT q, t, shared::double / (a.n + b.n - shared) AS jaccard FROM (
+    SELECT a.node AS q, b.node AS t, count(*) AS shared FROM qsets a JOIN tsets b ON a.kmer = b.kmer GROUP BY 1, 2)
+  JOIN (SELECT node, count(*) AS n FROM qsets GROUP BY node) a ON a.node = q
+  JOIN (SELECT node, count(*) AS n FROM tsets GROUP BY node) b ON b.node = t
+  WHERE shared::double / (a.n + b.n - shared) >= 0.04::double),
+seeds AS (SELECT a.node AS q, b.node AS t, a.pos AS qp, b.pos AS tp
+  FROM {_kmers('s', 4, source='probes')} a JOIN {_kmers('s', 4)} b ON a.kmer = b.kmer),{ISLANDS},
+chain AS (SELECT q, t FROM islands GROUP BY q, t HAVING max(chain) >= 3)"""
+
+
+def _items(relation: str, scored: bool) -> str:
+    score = (f", {_round('jaccard', 6)} AS jaccard, row_number() OVER (PARTITION BY q ORDER BY jaccard DESC, t) AS rank"
+             if scored else "")
+    return f"""SELECT q AS item_id, b.id AS target_id, b.copies AS target_copies{score} FROM {relation} JOIN nodes b ON b.node = t"""
+
+
 def _ids(relation: str, columns: str = "") -> str:
     return f"""SELECT a.id AS query_id, b.id AS target_id,
   a.copies AS query_copies, b.copies AS target_copies{columns} FROM {relation}
@@ -330,7 +352,6 @@ ev AS (SELECT *, {_evalue('raw_score', 'len', 'db')} AS pairwise, {_evalue('raw_
 
 _WORD_PAIRS = f"""{WORDS}, {_neighbours('words')},
 pairs AS (SELECT id || '/' || next_id AS pid, id, next_id, a AS q, b AS t FROM neighbours)"""
-_WORD_NODES = f"{WORDS}, {_nodes('words')}"
 _MESSAGE_NODES = f"{MESSAGES}, {_nodes('messages')}"
 
 _SOURCES = f"""{LINES}, recs AS (SELECT ordinal AS row_num, source AS id, {_CLEAN.format('line')} AS sequence FROM lines),
@@ -476,6 +497,11 @@ def oracle_queries() -> dict[str, str]:
         "two_pass_candidates": f"""WITH {_WORD_NODES},{_jaccard()},{CHAIN},
             two AS (SELECT q, t, jaccard FROM jac UNION ALL SELECT q, t, 0::double FROM chain ANTI JOIN jac USING (q, t))
             {_ids('two', ', ' + _round('jaccard', 6) + ' AS jaccard' + _RANK)}""",
+        "index_jaccard": f"WITH {_SEARCHED} {_items('jac', True)}",
+        "index_chain": f"WITH {_SEARCHED} {_items('chain', False)}",
+        "index_candidates": f"""WITH {_SEARCHED},
+            two AS (SELECT q, t, jaccard FROM jac UNION ALL SELECT q, t, 0::double FROM chain ANTI JOIN jac USING (q, t))
+            {_items('two', True)}""",
         "ra_candidates": f"WITH {_MESSAGE_NODES},{_DETAILS} {_ids('passing')}",
         "ra_candidates_documents": f"WITH {_WORD_NODES},{_DETAILS} SELECT query_id, count(*) AS passes FROM passing GROUP BY 1",
         "ra_rescue": f"WITH {_MESSAGE_NODES},{_DETAILS} {_ids('(SELECT * FROM passing WHERE chain < 2)')}",

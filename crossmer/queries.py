@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from crossmer import constants as C
 from crossmer.functions import physchem as P, sequence as Q, statistics as S
 from crossmer.operators import loading, ordering, scoring, seeds, tables, tags
+from crossmer.operators.indexed import KmerIndex
 from crossmer.operators.storage import materialize
 from crossmer.operators.nodes import NodeSet, attach, both_directions, build_nodes
 from crossmer.plans import lookup, quality, screen
@@ -400,6 +401,37 @@ def two_pass_candidates(spark, folder):
                   S.round_to(F.col("jaccard"), 6).alias("jaccard"), _rank(F.desc("jaccard")))
 
 
+def _searched(spark, folder, search) -> DataFrame:
+    """Pairs of all benchmark items with the indexed document lines, which are added in two batches."""
+    nodes = _word_nodes(spark, folder).frame
+    index = KmerIndex(spark).add(nodes.filter("copies = 1")).add(nodes.filter("copies > 1"))
+    items = word_items(spark, folder).select(F.col("ordinal").alias("node"), "sequence")
+    return attach(search(index, items), nodes, ["id", "copies"], sides=("t",)).withColumnsRenamed(
+        {"q_node": "item_id", "t_id": "target_id", "t_copies": "target_copies"})
+
+
+def _ranked_items(found: DataFrame) -> DataFrame:
+    order = W.partitionBy("item_id").orderBy(F.desc("jaccard"), "t_node")
+    return found.select("item_id", "target_id", "target_copies", S.round_to(F.col("jaccard"), 6).alias("jaccard"),
+                        F.row_number().over(order).alias("rank"))
+
+
+@query
+def index_jaccard(spark, folder):
+    return _ranked_items(_searched(spark, folder, lambda index, items: index.jaccard(items)))
+
+
+@query
+def index_chain(spark, folder):
+    return _searched(spark, folder, lambda index, items: index.common_runs(items)).select(
+        "item_id", "target_id", "target_copies")
+
+
+@query
+def index_candidates(spark, folder):
+    return _ranked_items(_searched(spark, folder, lambda index, items: index.two_pass(items)))
+
+
 @query
 def ra_candidates(spark, folder):
     nodes = _message_nodes(spark, folder)
