@@ -365,9 +365,13 @@ _STRIPPED = f"""stripped AS (SELECT id,
   place > 0 OR good AS tag_found, CASE WHEN place > 0 THEN 'exact' WHEN good THEN 'sw' ELSE 'none' END AS method_used,
   CASE WHEN place > 0 THEN NULL ELSE raw_score END AS score FROM tagged)"""
 
+# all messages, copies included, and every pair of them
 _FAMILY = f"""{_MESSAGE_NODES},{_DETAILS},
-members AS (SELECT node, id, regexp_extract(id, '^(C[0-9]+):', 1) AS family FROM nodes),
-found AS (SELECT DISTINCT least(query_id, target_id) AS a, greatest(query_id, target_id) AS b FROM passing),
+members AS (SELECT n.node, m.id, 'C' || m.conv_id AS family FROM messages m JOIN nodes n ON n.s = m.sequence),
+node_pairs AS (SELECT DISTINCT least(q, t) AS p, greatest(q, t) AS r FROM passing),
+found AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM node_pairs
+            JOIN members x ON x.node = p JOIN members y ON y.node = r
+          UNION ALL SELECT x.id, y.id FROM members x JOIN members y ON x.node = y.node AND x.id < y.id),
 truth AS (SELECT x.id AS a, y.id AS b, x.family FROM members x JOIN members y ON x.family = y.family AND x.id < y.id)"""
 
 
@@ -379,7 +383,7 @@ def _profile(scale: dict[str, int], window: bool) -> str:
 
 def _family_numbers() -> str:
     return f"""WITH {_FAMILY}, n AS (SELECT
-  (SELECT count(*) * (count(*) - 1) // 2 FROM nodes)::bigint AS total_pairs, (SELECT count(*) FROM truth) AS expected_pairs,
+  (SELECT count(*) * (count(*) - 1) // 2 FROM members)::bigint AS total_pairs, (SELECT count(*) FROM truth) AS expected_pairs,
   (SELECT count(*) FROM found) AS passing_pairs,
   (SELECT count(*) FROM (SELECT a, b FROM found INTERSECT SELECT a, b FROM truth)) AS true_positives,
   (SELECT count(*) FROM (SELECT a, b FROM truth EXCEPT SELECT a, b FROM found)) AS false_negatives,
@@ -390,8 +394,9 @@ SELECT *, total_pairs - expected_pairs - background_passing AS background_reject
 FROM n"""
 
 
-_PASSES = f"""WITH {_MESSAGE_NODES},{_DETAILS},
-counts AS (SELECT n.id, count(p.q) AS passes FROM nodes n LEFT JOIN passing p ON p.q = n.node GROUP BY n.id)"""
+_PASSES = f"""WITH {_FAMILY},
+counts AS (SELECT m.id, (coalesce(c.k, 0) + n.copies - 1)::bigint AS passes FROM members m JOIN nodes n ON n.node = m.node
+  LEFT JOIN (SELECT p.q, count(*) AS k FROM passing p JOIN members y ON y.node = p.t GROUP BY 1) c ON c.q = m.node)"""
 
 
 def oracle_queries() -> dict[str, str]:
@@ -503,7 +508,10 @@ def oracle_queries() -> dict[str, str]:
             two AS (SELECT q, t, jaccard FROM jac UNION ALL SELECT q, t, 0::double FROM chain ANTI JOIN jac USING (q, t))
             {_items('two', True)}""",
         "ra_candidates": f"WITH {_MESSAGE_NODES},{_DETAILS} {_ids('passing')}",
-        "ra_candidates_documents": f"WITH {_WORD_NODES},{_DETAILS} SELECT query_id, count(*) AS passes FROM passing GROUP BY 1",
+        "ra_candidates_documents": f"""WITH {_WORD_NODES},{_DETAILS},
+            others AS (SELECT p.q, count(*) AS k FROM passing p JOIN nodes b ON b.node = p.t JOIN words w ON w.sequence = b.s GROUP BY 1)
+            SELECT n.id AS query_id, n.copies AS query_copies, (coalesce(k, 0) + n.copies - 1)::bigint AS passes
+            FROM nodes n LEFT JOIN others ON q = n.node WHERE coalesce(k, 0) + n.copies > 1""",
         "ra_rescue": f"WITH {_MESSAGE_NODES},{_DETAILS} {_ids('(SELECT * FROM passing WHERE chain < 2)')}",
         "ra_details": f"""WITH {_MESSAGE_NODES},{_DETAILS} SELECT query_id, target_id, chain AS chain_length, d AS diagonal,
             start AS chain_start_qpos, len AS region_len, {_round('mean', 4)} AS blosum62_mean, chain >= 2 AS passed_chain,
@@ -550,7 +558,9 @@ def oracle_queries() -> dict[str, str]:
               WHERE q < t AND coalesce(jaccard, 0) < 0.04)
             {_ids('merged', ', ' + _round('jaccard', 6) + ' AS jaccard, origin')}""",
         "store_stats": f"""WITH {_WORD_NODES},{CHAIN} SELECT (SELECT count(*) FROM words) AS antigens,
-            (SELECT sum(length(sequence))::bigint FROM words) AS residues, (SELECT count(*) FROM chain WHERE q < t) AS pairs""",
+            (SELECT sum(length(sequence))::bigint FROM words) AS residues, ((SELECT count(*) FROM chain JOIN nodes a ON a.node = q JOIN nodes b ON b.node = t
+                JOIN words x ON x.sequence = a.s JOIN words y ON y.sequence = b.s WHERE q < t)
+              + (SELECT count(*) FROM words x JOIN words y ON x.sequence = y.sequence AND x.ordinal < y.ordinal))::bigint AS pairs""",
         "completed_queries": f"{_KMER_ITEMS} SELECT DISTINCT query_id FROM stored",
         "query_similar": f"""{_KMER_ITEMS}, both_ways AS (
               SELECT query_id AS id, target_id AS partner_id, 0 AS side, * EXCLUDE (query_id, target_id) FROM stored

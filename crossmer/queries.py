@@ -462,10 +462,13 @@ def ra_details(spark, folder):
 
 @query
 def ra_candidates_documents(spark, folder):
-    """Pairs each document line has under the diagonal filter."""
+    """Lines that each document line passes against under the diagonal filter, with all copies."""
     nodes = _word_nodes(spark, folder)
-    return _named(seeds.diagonal_pairs(nodes), nodes).groupBy("query_id").agg(
-        F.count("*").alias("passes"))
+    found = seeds.diagonal_pairs(nodes).withColumnsRenamed({"q_node": "query_id", "t_node": "target_id"})
+    members = nodes.frame.select(F.col("node").alias("id"), F.lit(None).cast("string").alias("family"), F.col("copies").alias("n"))
+    passes = quality.pass_counts(members, found).filter("passes > 0")
+    return passes.join(nodes.frame.select(F.col("node").alias("id"), F.col("id").alias("query_id")), "id").select(
+        "query_id", F.col("copies").alias("query_copies"), "passes")
 
 
 @query
@@ -497,10 +500,13 @@ def resume_pending(spark, folder):
 # --- filter quality ------------------------------------------------------------------------
 
 def _message_families(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Messages with their conversation as family, and the diagonal filter's pairs."""
+    """Messages by distinct sequence and conversation (the family), and the diagonal filter's pairs of sequences."""
     nodes = _message_nodes(spark, folder)
-    members = nodes.frame.select("id", F.regexp_extract("id", "^(C[0-9]+):", 1).alias("family"))
-    return members, _named(seeds.diagonal_pairs(nodes), nodes)
+    counted = message_antigens(spark, folder).groupBy("sequence", F.concat(F.lit("C"), "conv_id").alias("family")).agg(
+        F.count("*").alias("n"))
+    members = materialize(counted.join(nodes.frame.select("sequence", F.col("node").alias("id")), "sequence").select(
+        "id", "family", "n"))
+    return members, materialize(seeds.diagonal_pairs(nodes).withColumnsRenamed({"q_node": "query_id", "t_node": "target_id"}))
 
 
 @query
@@ -631,9 +637,12 @@ def sim_insert_ignore(spark, folder):
 
 @query
 def store_stats(spark, folder):
+    """Antigens, residues and pairs of antigens with a common chain, copies of one sequence included."""
     nodes = _word_nodes(spark, folder)
     antigens = word_antigens(spark, folder).select(F.length("sequence").alias("length"))
-    return tables.store_summary(antigens, seeds.chain_pairs(nodes))
+    between = attach(seeds.chain_pairs(nodes).withColumnsRenamed({"a_node": "q_node", "b_node": "t_node"}), nodes.frame, ["copies"])
+    own = nodes.frame.filter("copies > 1").select(F.expr("copies * (copies - 1) div 2").alias("pairs"))
+    return tables.store_summary(antigens, between.select((F.col("q_copies") * F.col("t_copies")).alias("pairs")).unionByName(own))
 
 
 @query

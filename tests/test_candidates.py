@@ -221,3 +221,21 @@ def test_filter_quality(spark):
     assert per == {"A": (1, 3), "B": (1, 1)}
     spread = quality.pass_distribution(members, pairs).first()
     assert (spread["queries"], spread["median"], spread["maximum"]) == (6, 1, 2)
+
+
+def test_filter_quality_counts_copies(spark):
+    """The same numbers as with every copy as an id of its own and all pairs listed."""
+    random.seed(12)
+    sequences = {f"S{n}": random.randint(1, 5) for n in range(12)}
+    antigens_ = [(s, f"{s}-{c}", random.choice(["A", "B", "C", None])) for s, n in sequences.items() for c in range(n)]
+    links = [(x, y) for x in sequences for y in sequences if x != y and random.random() < 0.3]
+    counted = {}
+    for s, _, family in antigens_:
+        counted[s, family] = counted.get((s, family), 0) + 1
+    classes = spark.createDataFrame([(s, f, n) for (s, f), n in counted.items()], "id string, family string, n long")
+    pairs = spark.createDataFrame(links, "query_id string, target_id string")
+    single = spark.createDataFrame([(i, f) for _, i, f in antigens_], "id string, family string")
+    listed = spark.createDataFrame([(i, j) for s, i, _ in antigens_ for t, j, _ in antigens_ if i != j and (s == t or (s, t) in links)],
+                                   "query_id string, target_id string")
+    for function in (quality.filter_quality, quality.family_sensitivity, quality.pass_distribution, quality.pass_histogram):
+        assert sorted(map(str, function(classes, pairs).collect())) == sorted(map(str, function(single, listed).collect()))
