@@ -25,6 +25,7 @@ class NodeSet:
     count: int           # distinct sequences
     antigens: int        # input antigens
     residues: int        # input residues over all copies (the E-value search space)
+    longest: int         # length of the longest sequence
 
 
 def build_nodes(antigens: DataFrame) -> NodeSet:
@@ -42,6 +43,7 @@ def build_nodes(antigens: DataFrame) -> NodeSet:
     total = frame.agg(
         F.count("*"), F.coalesce(F.sum("copies"), F.lit(0)),
         F.coalesce(F.sum(F.col("length") * F.col("copies")), F.lit(0)),
+        F.coalesce(F.max("length"), F.lit(0)),
     ).first()
     return NodeSet(frame, *map(int, total))
 

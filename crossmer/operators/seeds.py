@@ -10,6 +10,10 @@ Every search is an equi-join of k-mer postings. Three things keep it small:
   k-mers then meet once, not once per k-mer;
 * a k-mer with more postings than ``HOT_POSTINGS`` is cut into blocks and
   joined block against block, so no task receives the whole list.
+
+The best seed, run or diagonal of a pair is picked by an order key that is one
+number wherever positions fit (``_order``), so these aggregates hash, combine
+before the shuffle and carry no residues.
 """
 
 from __future__ import annotations
@@ -18,12 +22,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crossmer import constants as C
 from crossmer.functions.sequence import bind, blosum_lookup, reduce_sequence, ungapped_score
+from crossmer.operators.grid import list_join
 from crossmer.operators.nodes import NodeSet, attach
 from crossmer.operators.storage import materialize
 
 HOT_POSTINGS = 20_000
 BROADCAST_KEYS = 100_000
 START, END, UNKNOWN = "^", "$", "?"
+POSITION_BITS = 21      # three positions in one bigint
 
 
 def hot_block_join(
@@ -85,6 +91,20 @@ def _no_common(left: Column, right: Column) -> Column:
     return (left != right) | left.isin(START, END, UNKNOWN)
 
 
+def _order(longest: int, *parts: Column) -> Column:
+    """One ascending sort key of two or three numbers from 0 to ``longest``.
+
+    A bigint where they fit, which a hash aggregate can keep; a struct, which
+    needs a sort, only for sequences of over two million residues.
+    """
+    if longest >> POSITION_BITS:
+        return F.struct(*[part.alias(f"k{i}") for i, part in enumerate(parts)])
+    key = parts[0].cast("bigint")
+    for part in parts[1:]:
+        key = F.shiftleft(key, POSITION_BITS).bitwiseOR(part.cast("bigint"))
+    return key
+
+
 def shared_kmer_pairs(text: DataFrame, k: int, limit: int | None = None) -> DataFrame:
     """Unordered node pairs whose texts share at least one k-mer.
 
@@ -206,12 +226,13 @@ def two_pass_pairs(nodes: NodeSet, k1: int = C.KMER_K, threshold: float = C.JACC
 # --- reduced-alphabet diagonal filter -------------------------------------------
 
 def reduced_seed_pairs(nodes: NodeSet, limit: int | None = None) -> DataFrame:
-    """Unordered pairs sharing a reduced 5-mer, with chain flag and first seeds.
+    """Unordered pairs sharing a reduced 5-mer: chained, forward, backward.
 
     One join answers both questions of the filter. ``chained``: two adjacent
     seeds on one diagonal, that is, some common seed is followed by the same
-    residue group. ``forward``/``backward``: the first seed in query order for
-    a pair without a chain, seen from either end, with its residues.
+    residue group. ``forward``/``backward``: for a pair without a chain, whether
+    its first seed in query order scores enough, seen from either end. The
+    score is taken where the seeds meet; what is shuffled is numbers.
     """
     k = C.REDUCED_K
     padded, windows = _windows(F.col("text"), k, after=True)
@@ -230,18 +251,19 @@ def reduced_seed_pairs(nodes: NodeSet, limit: int | None = None) -> DataFrame:
         .select("node", "kmer", "before", "after", (F.col("pos") - 1).alias("pos"),
                 F.substring(F.col("sequence"), F.col("pos"), F.lit(k)).alias("original"))
     )
+    goes_on = ~_no_common(F.col("a.after"), F.col("b.after"))
+    enough = rescue_score(F.concat("a.original", "b.original"), k) >= C.RESCUE_MEAN * k
     joined = hot_block_join(
         postings, "kmer", _no_common(F.col("a.before"), F.col("b.before")), limit
+    ).select(
+        F.col("a.node").alias("a_node"), F.col("b.node").alias("b_node"), goes_on.alias("chained"),
+        F.when(goes_on, F.lit(True)).otherwise(enough).alias("enough"),
+        _order(nodes.longest, F.col("a.pos"), F.col("b.pos")).alias("from_a"),
+        _order(nodes.longest, F.col("b.pos"), F.col("a.pos")).alias("from_b"),
     )
-    seed = lambda x, y: F.min(F.struct(
-        F.col(f"{x}.pos").alias("q"), F.col(f"{y}.pos").alias("t"),
-        F.concat(F.col(f"{x}.original"), F.col(f"{y}.original")).alias("residues"),
-    ))
-    return joined.groupBy(
-        F.col("a.node").alias("a_node"), F.col("b.node").alias("b_node")
-    ).agg(
-        F.max(~_no_common(F.col("a.after"), F.col("b.after"))).alias("chained"),
-        seed("a", "b").alias("forward"), seed("b", "a").alias("backward"),
+    return joined.groupBy("a_node", "b_node").agg(
+        F.max("chained").alias("chained"),
+        F.min_by("enough", "from_a").alias("forward"), F.min_by("enough", "from_b").alias("backward"),
     )
 
 
@@ -262,41 +284,51 @@ def reduced_pairs(nodes: NodeSet, limit: int | None = None) -> DataFrame:
     ``backward`` with ``b_node``; a chain passes both ways, a rescue depends
     on which seed comes first.
     """
-    enough = C.RESCUE_MEAN * C.REDUCED_K
-    passes = lambda seed: F.when(F.col("chained"), F.lit(True)).otherwise(
-        rescue_score(F.col(seed)["residues"]) >= enough)
+    passes = lambda way: (F.col("chained") | F.col(way)).alias(way)
     return reduced_seed_pairs(nodes, limit).select(
-        "a_node", "b_node", "chained",
-        passes("forward").alias("forward"), passes("backward").alias("backward"),
+        "a_node", "b_node", "chained", passes("forward"), passes("backward"),
     ).filter(F.col("forward") | F.col("backward"))
 
 
 # --- maximal common runs --------------------------------------------------------
 
-def maximal_runs(text: DataFrame, k: int, limit: int | None = None) -> DataFrame:
-    """Every maximal common run of >= k residues, grouped by pair and diagonal.
-
-    Columns a_node, b_node, diagonal (a position - b position) and ``runs``, an
-    array of (start, length) with 0-based positions in a. Only the first and
-    last k-mer of a run leave the join; on one diagonal runs cannot overlap, so
-    the n-th start belongs to the n-th end.
-    """
+def _run_postings(text: DataFrame, k: int) -> DataFrame:
     _, windows = _windows(F.col("text"), k, after=True)
-    postings = (
+    return (
         text.filter(F.length("text") >= k)
         .select("node", F.posexplode(windows).alias("pos", "w"))
         .select("node", "pos", F.substring("w", 2, k).alias("kmer"),
                 F.substring("w", 1, 1).alias("before"), F.substring("w", k + 2, 1).alias("after"))
         .filter(_known(F.col("kmer")))
     )
-    first = _no_common(F.col("a.before"), F.col("b.before"))
-    last = _no_common(F.col("a.after"), F.col("b.after"))
-    joined = hot_block_join(postings, "kmer", first | last, limit).select(
-        F.col("a.node").alias("a_node"), F.col("b.node").alias("b_node"),
-        (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), F.col("a.pos").alias("pos"),
+
+
+def maximal_runs(text: DataFrame, k: int, limit: int | None = None,
+                 targets: DataFrame | None = None) -> DataFrame:
+    """Every maximal common run of >= k residues, grouped by pair and diagonal.
+
+    Columns a_node, b_node, diagonal (a position - b position) and ``runs``, an
+    array of (start, length) with 0-based positions in a. Only the first and
+    last k-mer of a run leave the join; on one diagonal runs cannot overlap, so
+    the n-th start belongs to the n-th end.
+
+    With ``targets`` a comes from ``text`` and b from ``targets``, all pairs of
+    the two sets; without, pairs within ``text``. Rows are dealt out by pair,
+    so grouping by diagonal and then by pair takes one shuffle.
+    """
+    a, b = "ab" if targets is None else "lr"
+    first = _no_common(F.col(f"{a}.before"), F.col(f"{b}.before"))
+    last = _no_common(F.col(f"{a}.after"), F.col(f"{b}.after"))
+    if targets is None:
+        joined = hot_block_join(_run_postings(text, k), "kmer", first | last, limit)
+    else:
+        sides = [materialize(_run_postings(side, k)) for side in (text, targets)]
+        joined = list_join(*sides, "kmer", first | last, limit and limit * limit)
+    marks = joined.select(
+        F.col(f"{a}.node").alias("a_node"), F.col(f"{b}.node").alias("b_node"),
+        (F.col(f"{a}.pos") - F.col(f"{b}.pos")).alias("diagonal"), F.col(f"{a}.pos").alias("pos"),
         first.alias("first"), last.alias("last"),
-    )
-    marks = joined.groupBy("a_node", "b_node", "diagonal").agg(
+    ).repartition("a_node", "b_node").groupBy("a_node", "b_node", "diagonal").agg(
         F.sort_array(F.collect_list(F.when(F.col("first"), F.col("pos")))).alias("starts"),
         F.sort_array(F.collect_list(F.when(F.col("last"), F.col("pos")))).alias("ends"),
     )
@@ -305,6 +337,25 @@ def maximal_runs(text: DataFrame, k: int, limit: int | None = None) -> DataFrame
         lambda s, e: F.struct(s.alias("start"), (e - s + k).alias("length"))).alias("runs"))
 
 
+def _longest_run(runs: Column) -> Column:
+    """struct(rank, start) of the longest run of a diagonal, the earliest of equals; rank is minus its length."""
+    return F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("rank"), r["start"].alias("start"))))
+
+
+def _best_by_pair(diagonals: DataFrame, longest: int, key: str, value: str) -> DataFrame:
+    """Longest row per pair, with its ``value`` at both ends, seen from either end.
+
+    ``key`` and ``value`` name columns behind ``a_`` and ``b_``; ties go to the
+    smallest key at the query, then at the target.
+    """
+    order = lambda q, t: _order(longest, F.lit(longest) - F.col("length"), F.col(f"{q}_{key}"), F.col(f"{t}_{key}"))
+    aggregates = [F.max("length").alias("length")]
+    for q, t in ("ab", "ba"):
+        aggregates += [F.min_by(f"{side}_{value}", order(q, t)).alias(f"{name}_{q}{t}_{value}")
+                       for side, name in ((q, "q"), (t, "t"))]
+    return diagonals.groupBy("a_node", "b_node").agg(*aggregates)
+
+
 def contiguous_matches(nodes: NodeSet, min_run: int = C.MIN_RUN,
                        limit: int | None = None) -> DataFrame:
     """Longest identical run of every pair that has one of ``min_run`` residues.
@@ -313,55 +364,47 @@ def contiguous_matches(nodes: NodeSet, min_run: int = C.MIN_RUN,
     then smallest target end.
     """
     runs = maximal_runs(plain_text(nodes), min_run, limit)
-    one = runs.select("a_node", "b_node", "diagonal", F.explode("runs").alias("r")).select(
-        "a_node", "b_node", F.col("r.length").alias("length"),
-        (F.col("r.start") + F.col("r.length") - 1).alias("a_end"),
-        (F.col("r.start") - F.col("diagonal") + F.col("r.length") - 1).alias("b_end"),
+    per_diagonal = runs.select("a_node", "b_node", "diagonal", _longest_run(F.col("runs")).alias("r")).select(
+        "a_node", "b_node", (-F.col("r.rank")).alias("length"),
+        (F.col("r.start") - F.col("r.rank") - 1).alias("a_end"),
+        (F.col("r.start") - F.col("diagonal") - F.col("r.rank") - 1).alias("b_end"),
     )
-    best = lambda q, t: F.min(F.struct(
-        (-F.col("length")).alias("rank"), F.col(q).alias("q_end"), F.col(t).alias("t_end")))
-    found = one.groupBy("a_node", "b_node").agg(
-        best("a_end", "b_end").alias("ab"), best("b_end", "a_end").alias("ba"))
-    way = lambda q, t, b: F.struct(
-        F.col(q).alias("q_node"), F.col(t).alias("t_node"),
-        (-F.col(b)["rank"]).alias("run"), F.col(b)["q_end"].alias("run_query_end"),
-        F.col(b)["t_end"].alias("run_target_end"))
-    return found.select(F.explode(F.array(
-        way("a_node", "b_node", "ab"), way("b_node", "a_node", "ba"))).alias("d")).select("d.*")
+    found = _best_by_pair(per_diagonal, nodes.longest, "end", "end")
+    way = lambda q, t: F.struct(
+        F.col(f"{q}_node").alias("q_node"), F.col(f"{t}_node").alias("t_node"),
+        F.col("length").alias("run"), F.col(f"q_{q}{t}_end").alias("run_query_end"),
+        F.col(f"t_{q}{t}_end").alias("run_target_end"))
+    return found.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("d")).select("d.*")
 
 
 def diagonal_details(
     nodes: NodeSet, k: int = C.REDUCED_K, min_chain: int = C.REDUCED_MIN_CHAIN,
     rescue_mean: float = C.RESCUE_MEAN, rescue_min_region: int = C.RESCUE_MIN_REGION,
-    limit: int | None = None,
+    limit: int | None = None, targets: NodeSet | None = None,
 ) -> DataFrame:
     """Best diagonal chain of every directed pair with at least one seed.
 
-    Ties between diagonals go to the one whose first seed comes first in query
-    order (then target order); within a diagonal to the earliest run.
+    Pairs within ``nodes``, or of ``nodes`` as queries with ``targets`` as the
+    searched set, equal sequences of the two sets included. Ties between
+    diagonals go to the one whose first seed comes first in query order (then
+    target order); within a diagonal to the earliest run.
     """
-    runs = maximal_runs(reduced_text(nodes), k, limit)
-    longest = F.array_max(F.transform("runs", lambda r: r["length"]))
+    runs = maximal_runs(reduced_text(nodes), k, limit, targets and reduced_text(targets))
+    longest = max(nodes.longest, targets.longest if targets else 0)
     per_diagonal = runs.select(
-        "a_node", "b_node", "diagonal", longest.alias("length"),
+        "a_node", "b_node", "diagonal", _longest_run(F.col("runs")).alias("r"),
         F.col("runs")[0]["start"].alias("a_first"),
         (F.col("runs")[0]["start"] - F.col("diagonal")).alias("b_first"),
-        F.array_min(F.transform(
-            F.filter("runs", lambda r: r["length"] == F.array_max(
-                F.transform("runs", lambda x: x["length"]))),
-            lambda r: r["start"])).alias("a_start"),
-    ).withColumn("b_start", F.col("a_start") - F.col("diagonal"))
-    best = lambda q, t: F.min(F.struct(
-        (-F.col("length")).alias("rank"), F.col(f"{q}_first"), F.col(f"{t}_first"),
-        F.col(f"{q}_start").alias("q_start"), F.col(f"{t}_start").alias("t_start")))
-    found = per_diagonal.groupBy("a_node", "b_node").agg(
-        best("a", "b").alias("ab"), best("b", "a").alias("ba"))
-    way = lambda q, t, b: F.struct(
-        F.col(q).alias("q_node"), F.col(t).alias("t_node"),
-        (-F.col(b)["rank"]).alias("region_len"), F.col(b)["q_start"].alias("chain_start_qpos"),
-        F.col(b)["t_start"].alias("t_start"))
-    directed = found.select(F.explode(F.array(
-        way("a_node", "b_node", "ab"), way("b_node", "a_node", "ba"))).alias("d")).select("d.*")
+    ).select(
+        "a_node", "b_node", "a_first", "b_first", (-F.col("r.rank")).alias("length"),
+        F.col("r.start").alias("a_start"), (F.col("r.start") - F.col("diagonal")).alias("b_start"))
+    found = _best_by_pair(per_diagonal, longest, "first", "start")
+    way = lambda q, t: F.struct(
+        F.col(f"{q}_node").alias("q_node"), F.col(f"{t}_node").alias("t_node"),
+        F.col("length").alias("region_len"), F.col(f"q_{q}{t}_start").alias("chain_start_qpos"),
+        F.col(f"t_{q}{t}_start").alias("t_start"))
+    ways = [way("a", "b")] if targets else [way("a", "b"), way("b", "a")]
+    directed = found.select(F.explode(F.array(*ways)).alias("d")).select("d.*")
     region = lambda side, start: F.substring(
         F.col(f"{side}_sequence"), F.col(start) + 1, F.col("region_len"))
     chain = F.col("region_len") - (k - 1)
@@ -370,7 +413,9 @@ def diagonal_details(
         ungapped_score(region("q", "chain_start_qpos"), region("t", "t_start"))
         / F.col("region_len"),
     )
-    return attach(directed, nodes.frame, ["id", "sequence"]).select(
+    for side, ends in (("q", nodes), ("t", targets or nodes)):
+        directed = attach(directed, ends.frame, ["id", "sequence"], sides=(side,))
+    return directed.select(
         "q_node", "t_node", F.col("q_id").alias("query_id"), F.col("t_id").alias("target_id"),
         chain.alias("chain_length"),
         (F.col("chain_start_qpos") - F.col("t_start")).alias("diagonal"),
