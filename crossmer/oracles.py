@@ -252,7 +252,9 @@ jac AS (SELECT q, t, shared::double / (a.n + b.n - shared) AS jaccard FROM (
 CHAIN = f"""{_seeds(4, 's')},{ISLANDS},
 chain AS (SELECT q, t FROM islands GROUP BY q, t HAVING max(chain) >= 3)"""
 
-_DETAILS = f"""{_seeds(5, _reduce('s'))},{ISLANDS},
+def _details(queries: str) -> str:
+    """CTEs details, passing of the diagonal filter; seeds must exist."""
+    return f"""{ISLANDS},
 diag AS (SELECT q, t, d, max(chain) AS chain, min(start) AS first_q,
                 arg_min(start, -chain * 1000000 + start) AS start FROM islands GROUP BY q, t, d),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (
@@ -260,12 +262,15 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (
 regions AS (SELECT q, t, chain, d, start, chain + 4 AS len,
     substr(a.s, start + 1, chain + 4) AS qs, substr(b.s, start - d + 1, chain + 4) AS ts,
     a.id AS query_id, b.id AS target_id
-  FROM best JOIN nodes a ON a.node = q JOIN nodes b ON b.node = t),
+  FROM best JOIN {queries} a ON a.node = q JOIN nodes b ON b.node = t),
 details AS (SELECT *, list_sum(list_transform(range(1, len + 1),
     lambda i: {_score('qs[i]', 'ts[i]')}))::double / len AS mean FROM regions),
 passing AS (SELECT * FROM details WHERE chain >= 2 OR mean >= 3)"""
 
 
+_DETAILS = f"{_seeds(5, _reduce('s'))},{_details('nodes')}"
+
+
 _WORD_NODES = f"{WORDS}, {_nodes('words')}"
 
 # benchmark items as queries against the document lines
@@ -282,6 +287,15 @@ seeds AS (SELECT a.node AS q, b.node AS t, a.pos AS qp, b.pos AS tp
 chain AS (SELECT q, t FROM islands GROUP BY q, t HAVING max(chain) >= 3)"""
 
 
+# benchmark items, one node each, against the document lines by the diagonal filter
+_SEARCHED_DIAGONALS = f"""{_WORD_NODES}, probe_words AS (
+  SELECT item_id AS ordinal, item_id AS id, {_WORDS.format("replace(text, chr(10), ' ')")} AS sequence FROM benchmark),
+probes AS (SELECT sequence AS s, min(ordinal) AS node, min_by(id, ordinal) AS id, length(sequence) AS len FROM probe_words GROUP BY sequence),
+seeds AS (SELECT a.node AS q, b.node AS t, a.pos AS qp, b.pos AS tp
+  FROM {_kmers('x', 5, source=f"(SELECT node, {_reduce('s')} AS x FROM probes)")} a
+  JOIN {_kmers('x', 5, source=f"(SELECT node, {_reduce('s')} AS x FROM nodes)")} b ON a.kmer = b.kmer),{_details('probes')}"""
+
+
 def _items(relation: str, scored: bool) -> str:
     score = (f", {_round('jaccard', 6)} AS jaccard, row_number() OVER (PARTITION BY q ORDER BY jaccard DESC, t) AS rank"
              if scored else "")
@@ -507,6 +521,20 @@ def oracle_queries() -> dict[str, str]:
         "index_candidates": f"""WITH {_SEARCHED},
             two AS (SELECT q, t, jaccard FROM jac UNION ALL SELECT q, t, 0::double FROM chain ANTI JOIN jac USING (q, t))
             {_items('two', True)}""",
+        "index_diagonals": f"""WITH {_SEARCHED_DIAGONALS} SELECT query_id AS item_id, target_id, chain AS chain_length, d AS diagonal,
+            start AS chain_start_qpos, len AS region_len, {_round('mean', 4)} AS blosum62_mean, chain >= 2 AS passed_chain,
+            chain < 2 AND mean >= 3 AS rescued,
+            row_number() OVER (PARTITION BY q ORDER BY chain DESC, mean DESC NULLS LAST, t) AS rank FROM details""",
+        "live_items": f"""WITH RECURSIVE {_SEARCHED},
+            pairs AS (SELECT row_number() OVER () AS pid, c.q AS item, c.t AS tn, p.s AS q, n.s AS t FROM chain c
+              JOIN probes p ON p.node = c.q JOIN nodes n ON n.node = c.t),{_align('pairs')},
+            hits AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY evalue, ordinal) AS rank FROM (
+              SELECT item, w.id, w.ordinal, length(q) AS qlen, length(t) AS tlen, raw_score, target_end,
+                {_evalue('raw_score', 'length(q)', _DB)} AS evalue
+              FROM aligned JOIN pairs USING (pid) JOIN words w ON w.sequence = t) WHERE evalue <= 10 AND target_end >= 8)
+            SELECT item AS item_id, rank, id AS target_id, raw_score, {_round(_bits('raw_score'), 1)} AS bit_score,
+              {_round('log10(evalue)', 6)} AS log_evalue, {_tier('evalue')} AS significance, target_end AS aligned_region_len,
+              qlen AS query_length, tlen AS target_length FROM hits WHERE rank <= 25""",
         "ra_candidates": f"WITH {_MESSAGE_NODES},{_DETAILS} {_ids('passing')}",
         "ra_candidates_documents": f"""WITH {_WORD_NODES},{_DETAILS},
             others AS (SELECT p.q, count(*) AS k FROM passing p JOIN nodes b ON b.node = p.t JOIN words w ON w.sequence = b.s GROUP BY 1)

@@ -432,6 +432,29 @@ def index_candidates(spark, folder):
     return _ranked_items(_searched(spark, folder, lambda index, items: index.two_pass(items)))
 
 
+@query
+def index_diagonals(spark, folder):
+    """Best diagonal chain of every benchmark item with every document line that shares a reduced seed."""
+    items = build_nodes(word_items(spark, folder).withColumn("id", F.col("ordinal")))
+    found = seeds.diagonal_details(items, targets=_word_nodes(spark, folder))
+    return found.select(
+        F.col("query_id").alias("item_id"), "target_id", "chain_length", "diagonal", "chain_start_qpos", "region_len",
+        S.round_to(F.col("blosum62_mean"), 4).alias("blosum62_mean"), "passed_chain", "rescued",
+        _rank(F.desc("chain_length"), F.desc_nulls_last("blosum62_mean")))
+
+
+@query
+def live_items(spark, folder):
+    """All benchmark items against the indexed document lines: the best antigens of each."""
+    antigens = word_antigens(spark, folder)
+    nodes = build_nodes(antigens)
+    items = word_items(spark, folder).select(F.col("ordinal").alias("node"), "sequence")
+    found = lookup.live_queries(items, KmerIndex(spark).add(nodes.frame), nodes, antigens, max_evalue=C.EXPORT_MAX_EVALUE)
+    return found.select(
+        F.col("q_node").alias("item_id"), "rank", "target_id", "raw_score", S.round_to(F.col("bit_score"), 1).alias("bit_score"),
+        _log_evalue(F.col("evalue")).alias("log_evalue"), "significance", "aligned_region_len", "query_length", "target_length")
+
+
 @query
 def ra_candidates(spark, folder):
     nodes = _message_nodes(spark, folder)
