@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from crossmer.llm import near_dedup
 from crossmer.llm.components import components
@@ -66,6 +67,37 @@ def test_groups_against_brute_force(spark, monkeypatch, seed, tile):
     assert found(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("direct", [0, 30])
+def test_large_leaders_are_listed_anew(spark, monkeypatch, direct):
+    """Documents of one template without links, near copies of some of them, and pairs at the threshold."""
+    monkeypatch.setattr(near_dedup, "DIRECT_PAIRS", direct)
+    rng = random.Random(7)
+    template, texts = prose(500, 240), []
+    texts += [template + " " + prose(600 + n, 160) for n in range(60)]
+    texts += [near(texts[n % 9], n, rng.randint(1, 22)) for n in range(30)]
+    base = prose(800, 900)
+    texts += [near(base, n, 20) for n in range(20)] + [base]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert found(spark, rows) == brute(rows)
+
+
+def test_unlinked_template_documents_are_not_compared(spark, monkeypatch):
+    """Sketches of K_FINE values list none of the documents that have 60 % of their words in common."""
+    monkeypatch.setattr(near_dedup, "DIRECT_PAIRS", 100)
+    compared, left_over = [], near_dedup._left_over
+
+    def counted(members, own, sets):
+        compared.append(members.select("leader", "pairs").distinct().agg({"pairs": "sum"}).first()[0] or 0)
+        return left_over(members, own, sets)
+
+    monkeypatch.setattr(near_dedup, "_left_over", counted)
+    template = prose(500, 600)
+    rows = [(n, template + " " + prose(600 + n, 400)) for n in range(60)]
+    assert found(spark, rows) == brute(rows)
+    assert sum(compared) <= 60 * 59 / 2 / 10
+
+
 def test_one_of_each_group_stays(spark):
     documents = odd(spark)
     kept = near_dedup.keep_one(documents)
@@ -100,10 +132,13 @@ def test_rows_are_told_apart_within_an_id(spark):
     assert sorted(r["doc_id"] for r in near_dedup.keep_one(twice).collect()) == list(range(20))
 
 
-def test_chance_of_a_missed_link():
+def test_chance_of_a_missed_link(spark):
     from math import comb
 
     tail = lambda t: sum(comb(64, x) * 0.75**x * 0.25 ** (64 - x) for x in range(t))
     sure = near_dedup.sure_of(64)
     assert tail(sure) < 1e-9 <= tail(sure + 1)
     assert near_dedup._needed(64) == sure and near_dedup._needed(8) == 6
+    column = near_dedup._need(F.col("id"), near_dedup.K_FINE)
+    got = {r["id"]: r["need"] for r in spark.range(513).select("id", column.alias("need")).collect()}
+    assert got == {s: near_dedup._needed(s, near_dedup.K_FINE) if s else 1 for s in range(513)} | {0: got[0]}
