@@ -96,6 +96,7 @@ def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: s
 
 # --- texts against their edited forms and their successors -----------------------------
 
+RANGE_CHARS = 64     # of a text tell the ranges of one doc_id apart; Spark samples range keys, so they stay small
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
 _ROW = pa.schema([
@@ -127,12 +128,14 @@ def with_edited_and_next(documents: DataFrame) -> DataFrame:
 
     Texts are range partitioned and sorted once. A task compares neighbours inside
     its range and passes on its first and last text; those, two rows per range,
-    are joined in a second small step.
+    are joined in a second small step. Rows of one doc_id, or without any, are dealt
+    to ranges by how their texts start (the sort within a range compares whole texts),
+    so a hot id is no single task unless its texts start alike.
     """
     ordered = (
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .repartitionByRange(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                            F.col("doc_id").asc_nulls_first())
+                            F.col("doc_id").asc_nulls_first(), F.substring("text", 1, RANGE_CHARS))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     )
 

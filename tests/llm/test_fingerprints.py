@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from crossmer.llm import fingerprints as fp
 from tests.llm.texts import frame, near, odd, prose
@@ -51,3 +53,24 @@ def test_neighbours_against_brute_force(spark):
         assert sorted(str(tuple(r)) for r in fp.with_edited_and_next(documents).collect()) == brute(rows)
     assert fp.with_edited_and_next(frame(spark, [])).count() == 0
     assert fp.fingerprints(odd(spark)).count() == odd(spark).count()
+
+
+def test_rows_of_a_hot_id_are_split(spark):
+    """A third of all rows without id, and as many under one id, are dealt to several tasks."""
+    start = prose(77, 30)      # some texts start alike beyond the range key
+    rows = [(None, prose(n, 20)) for n in range(200)] + [(7, prose(n, 20)) for n in range(150)] + [
+        (7, f"{start} {n % 25}") for n in range(50)] + [(n, prose(n, 20)) for n in range(100, 300)]
+    documents = frame(spark, rows)
+    assert sorted(str(tuple(r)) for r in fp.with_edited_and_next(documents).collect()) == brute(rows)
+    seen, materialize = [], fp.materialize
+
+    def kept(found):
+        seen.append(materialize(found))
+        return seen[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(fp, "materialize", kept)
+        fp.with_edited_and_next(documents)
+    per_id = seen[0].filter("place = 'inside'").groupBy("part").agg(
+        F.count_if(F.expr("doc_id IS NULL")).alias("none"), F.count_if(F.expr("doc_id = 7")).alias("hot")).collect()
+    assert sum(r["none"] > 0 for r in per_id) > 1 and sum(r["hot"] > 0 for r in per_id) > 1
