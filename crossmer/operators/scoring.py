@@ -15,8 +15,8 @@ from crossmer import constants as C
 from crossmer.functions import statistics as S
 from crossmer.kernels.align import align_pairs
 
-_BATCH_ROWS = 65_536
-_BATCH_LETTERS = 1 << 25
+_BATCH_ROWS = 16_384
+_BATCH_LETTERS = 1 << 22
 
 _ALIGNED = T.StructType([
     T.StructField(n, T.IntegerType()) for n in ("raw_score", "target_end", "query_end")])
