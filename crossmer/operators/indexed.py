@@ -12,21 +12,26 @@ and any row at all means a common run of k residues. The two-pass filter of the
 default settings (6-mers, chains of three 4-mers) needs no second join.
 
 A k-mer that would make more than CELL_PAIRS pairs is counted out beforehand and joined
-as a grid of cells, with a shuffle of its postings alone.
+as a grid of cells, with a shuffle of its postings alone. Where the queries have at most
+BROADCAST_KEYS distinct k-mers, stored postings of other k-mers are neither counted nor sorted.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crossmer import constants as C
-from crossmer.functions.sequence import kmer_set
-from crossmer.operators.grid import CELL_PAIRS, hot_keys, list_join
+from crossmer.kernels.kmers import distinct_kmers
+from crossmer.operators.grid import BROADCAST_KEYS, CELL_PAIRS, hot_keys, list_join
 from crossmer.operators.storage import materialize, new_path
 
 BUCKETS = 64
+LETTERS = 1 << 20       # of the sequences whose postings are made at a time
 
 
 class KmerIndex:
@@ -42,10 +47,22 @@ class KmerIndex:
 
     def postings(self, sequences: DataFrame) -> DataFrame:
         """kmer, node, size: one row per distinct k-mer of a sequence."""
-        return (
-            sequences.select("node", kmer_set(F.col("sequence"), self.k).alias("kmers"))
-            .select(F.explode("kmers").alias("kmer"), F.col("node").cast("long").alias("node"), F.size("kmers").alias("size"))
-        )
+        k = self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                node, texts = batch.column(0), [text or "" for text in batch.column(1).to_pylist()]
+                upto = np.cumsum([len(text) for text in texts])
+                at = 0
+                while at < len(texts):
+                    end = max(int(np.searchsorted(upto, upto[at] - len(texts[at]) + LETTERS, "right")), at + 1)
+                    row, kmer = distinct_kmers(texts[at:end], k)
+                    size = np.bincount(row, minlength=end - at).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [kmer, node.slice(at, end - at).take(pa.array(row)), pa.array(size[row])], names=["kmer", "node", "size"])
+                    at = end
+
+        return sequences.select(F.col("node").cast("long").alias("node"), "sequence").mapInArrow(run, "kmer string, node long, size int")
 
     def add(self, sequences: DataFrame) -> KmerIndex:
         """Append a batch of new nodes."""
@@ -64,16 +81,19 @@ class KmerIndex:
         """q_node, t_node, q_size, t_size, shared of every pair with a common k-mer."""
         pairs = pairs or CELL_PAIRS
         asked = materialize(self.postings(queries).repartition(self.buckets, "kmer"))
-        hot = materialize(hot_keys(self.stored(), asked, "kmer", pairs).select("kmer"))
+        stored, keys = self.stored(), asked.select("kmer").distinct()
+        if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:       # only postings that are asked for are counted and sorted
+            stored = stored.join(F.broadcast(keys), "kmer", "left_semi").select("kmer", "node", "size")
+        hot = materialize(hot_keys(stored, asked, "kmer", pairs).select("kmer"))
         ends = [F.col("r.node").alias("q_node"), F.col("l.node").alias("t_node"),
                 F.col("r.size").alias("q_size"), F.col("l.size").alias("t_size")]
         cold = asked
         if not hot.isEmpty():
             cold = asked.join(hot, "kmer", "left_anti")
         dealt = cold.repartition(self.buckets, "kmer")         # as the buckets are: only this side is shuffled
-        found = self.stored().alias("l").hint("merge").join(dealt.alias("r"), F.col("l.kmer") == F.col("r.kmer")).select(*ends)
+        found = stored.alias("l").hint("merge").join(dealt.alias("r"), F.col("l.kmer") == F.col("r.kmer")).select(*ends)
         if cold is not asked:
-            few = [side.join(hot, "kmer", "left_semi") for side in (self.stored(), asked)]
+            few = [side.join(hot, "kmer", "left_semi") for side in (stored, asked)]
             found = found.unionByName(list_join(*few, "kmer", F.lit(True), pairs).select(*ends))
         return found.groupBy("q_node", "t_node", "q_size", "t_size").agg(F.count("*").alias("shared"))
 

@@ -59,3 +59,32 @@ def test_stored_side_is_not_shuffled(spark):
     stored = join[join.index(f"{index.table}") - 600:join.index(f"{index.table}")]
     assert "Exchange" not in stored and "Bucketed: true" in join
     index.drop()
+
+
+def test_postings_are_those_of_the_sets(spark, monkeypatch):
+    """Also of texts beyond ASCII, empty and null ones, cut into slices."""
+    from crossmer.functions.sequence import kmer_set
+    from pyspark.sql import functions as F
+
+    rows = sequences(5, 30) + [(90, "ÄCDEFGHÄCDEFG𝄞HI"), (91, None), (92, "AAAAAAAAAA"), (None, "ACDEFGH")]
+    frame = spark.createDataFrame(rows, "node long, sequence string")
+    index = KmerIndex(spark, buckets=4)
+    plain = frame.select("node", kmer_set(F.col("sequence"), 6).alias("s")).select(F.explode("s").alias("kmer"), "node", F.size("s").alias("size")).filter("kmer IS NOT NULL")
+    for letters in (1 << 20, 25):
+        monkeypatch.setattr("crossmer.operators.indexed.LETTERS", letters)
+        found = index.postings(frame)
+        assert found.dtypes == plain.dtypes and sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    index.drop()
+
+
+@pytest.mark.parametrize("keys", [grid.BROADCAST_KEYS, 5])
+def test_only_asked_postings_are_sorted(spark, monkeypatch, keys):
+    monkeypatch.setattr("crossmer.operators.indexed.BROADCAST_KEYS", keys)
+    targets, queries = sequences(6, 40), sequences(7, 10)
+    frame = lambda rows: spark.createDataFrame(rows, "node long, sequence string")
+    index = KmerIndex(spark, buckets=4).add(frame(targets))
+    found = index.two_pass(frame(queries), 0.2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("LeftSemi" in plan) == (keys > 5)
+    assert {(r["q_node"], r["t_node"], round(r["jaccard"], 9)) for r in found.collect()} == brute(queries, targets, 0.2)
+    index.drop()
