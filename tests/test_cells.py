@@ -5,8 +5,11 @@ import random
 import pytest
 
 import brute
+from crossmer import constants as C
+from crossmer.functions import statistics as S
 from crossmer.kernels import kmers
 from crossmer.operators import nodes as N, seeds
+from crossmer.plans import screen
 from test_candidates import antigens, ids, relatives, unique
 
 
@@ -105,3 +108,17 @@ def test_counts_of_long_sequences(spark, monkeypatch):
     met = sorted(map(tuple, seeds.diagonal_pass_counts(nodes).collect()))
     monkeypatch.setattr(seeds, "SEGMENT", 20)
     assert sorted(map(tuple, seeds.diagonal_pass_counts(nodes).collect())) == met
+
+
+def test_only_hits_of_the_batch_screen_leave_the_cells(spark, monkeypatch):
+    records = relatives(5) + [("L1", "acdefghiklmnpqrstvwy"), ("L2", "GGACDEFGHIKLXNPQRSTVWY"), ("L3", "XXXXXXXXACDEFGXXXXXX")]
+    nodes = N.build_nodes(antigens(spark, records))
+    lam, k, h = S.karlin_altschul()
+    hits = seeds.reduced_hits(nodes, screen._floors(nodes, C.MAX_EVALUE, lam, k, h))
+    passing = seeds.reduced_pairs(nodes)
+    assert 10 < hits.count() < passing.count()
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a_node" not in plan and "ArrowEvalPython" not in plan
+    in_cells = sorted(map(tuple, screen.screen_batch(nodes).collect()))
+    monkeypatch.setattr(seeds, "SEGMENT", 7)         # long sequences: pairs are joined with their ends and aligned
+    assert in_cells == sorted(map(tuple, screen.screen_batch(nodes).collect())) and len(in_cells) > 10
