@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from crossmer import constants as C
@@ -122,3 +123,18 @@ def test_only_hits_of_the_batch_screen_leave_the_cells(spark, monkeypatch):
     in_cells = sorted(map(tuple, screen.screen_batch(nodes).collect()))
     monkeypatch.setattr(seeds, "SEGMENT", 7)         # long sequences: pairs are joined with their ends and aligned
     assert in_cells == sorted(map(tuple, screen.screen_batch(nodes).collect())) and len(in_cells) > 10
+
+
+def test_only_hits_of_the_quick_screen_leave_the_cells(spark, monkeypatch):
+    records = relatives(5) + [("L1", "acdefghiklmnpqrstvwy"), ("L2", "GGACDEFGHIKLXNPQRSTVWY"), ("L3", "XXXXXXXXACDEFGXXXXXX")]
+    nodes = N.build_nodes(antigens(spark, records))
+    in_cells = sorted(map(str, screen.screen_kmer(nodes).collect()))
+    lam, k, h = S.karlin_altschul()
+    scored = nodes.frame.select("node", F.col("sequence").alias("text"), F.lit(1e4).alias("most")).join(
+        screen._floors(nodes, C.MAX_EVALUE, lam, k, h), "node")
+    hits = seeds.chain_hits(nodes, scored)
+    assert 10 < hits.count() < seeds.chain_pairs(nodes).count()
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a_node" not in plan and "ArrowEvalPython" not in plan
+    monkeypatch.setattr(seeds, "SEGMENT", 7)         # long sequences: pairs are joined with their ends and aligned
+    assert in_cells == sorted(map(str, screen.screen_kmer(nodes).collect())) and len(in_cells) > 20
