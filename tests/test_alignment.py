@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import brute
 from crossmer import constants as C
-from crossmer.kernels.align import align_pairs
+from crossmer.kernels.align import align_pairs, encode, pair_ends
 from crossmer.operators import scoring, tags
 
 SEQ = st.text(alphabet=C.AMINO_ACIDS + "X", max_size=40)
@@ -48,6 +48,18 @@ def test_mixed_lengths_in_one_batch():
     assert (align_pairs(q, t, with_end=False).score == found.score).all()
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(LOW, min_size=1, max_size=6), st.lists(SEQ | LOW, min_size=1, max_size=6), st.integers(0, 30))
+def test_ends_of_pairs_that_reach_their_floor(left, right, floor):
+    """Ties are settled only where they count; every pair of the two sets is scored."""
+    x, y = (c.ravel() for c in np.mgrid[:len(left), :len(right)])
+    score, l_end, r_end = pair_ends(encode(left), encode(right), x, y, np.full(len(x), floor), C.UNKNOWN_SCORE)
+    for n, (a, b) in enumerate((left[i], right[j]) for i, j in zip(x, y)):
+        forward, backward = brute.sw(a, b), brute.sw(b, a)
+        assert score[n] == forward[0]
+        assert score[n] < floor or (l_end[n], r_end[n]) == (backward[1], forward[1])
+
+
 def test_long_scores_do_not_overflow():
     long = "W" * 4000
     assert align_pairs([long], [long]).score[0] == 44_000
