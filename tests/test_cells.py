@@ -127,6 +127,7 @@ def test_only_hits_of_the_batch_screen_leave_the_cells(spark, monkeypatch):
 
 def test_only_hits_of_the_quick_screen_leave_the_cells(spark, monkeypatch):
     records = relatives(5) + [("L1", "acdefghiklmnpqrstvwy"), ("L2", "GGACDEFGHIKLXNPQRSTVWY"), ("L3", "XXXXXXXXACDEFGXXXXXX")]
+    records += [("M1", "GGGGGGGGAVSTILGGGGGGGG"), ("M2", "PPPPPPPPAVSTILPPPPPPPP")]      # a common 6-mer that scores too little
     nodes = N.build_nodes(antigens(spark, records))
     in_cells = sorted(map(str, screen.screen_kmer(nodes).collect()))
     lam, k, h = S.karlin_altschul()
