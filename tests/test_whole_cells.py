@@ -145,3 +145,13 @@ def test_counts_of_long_chains(spark, monkeypatch):
     met = seeds.chain_weights(nodes).agg(F.sum("pairs")).first()
     monkeypatch.setattr(seeds, "SEGMENT", 20)
     assert seeds.chain_weights(nodes).agg(F.sum("pairs")).first() == met
+
+
+@pytest.mark.parametrize("wide", [1 << 12, 1 << 40])
+def test_marks_are_sorted_by_all_three(wide):
+    """contiguous_match and ra_details: marks fit into one number or not, with the same order."""
+    random.seed(5)
+    marks = np.array([[random.choice((3, 7, wide)) + random.randrange(3) for _ in range(200)],
+                      [random.randint(-9, 9) * (wide >> 20 or 1) for _ in range(200)], [random.randrange(30) for _ in range(200)]], dtype=np.int64)
+    assert kmers._marks_sorted(marks).T.tolist() == sorted(marks.T.tolist())
+    assert kmers._marks_sorted(marks[:, :0]).shape == (3, 0)
